@@ -1,11 +1,73 @@
-"""A cleaning pipeline over `documents`; its stages are filled in as their operators are built."""
+"""A cleaning pipeline over `documents`: rules, repeated lines, near duplicates, benchmark leaks, then packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of `documents`. `run` writes each stage's rows
+to the shared folder and reads them again, so that a lost executor costs one stage at most.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
+from tessera.llm.queries import table, tokenizer_path
+from tessera.llm.store import saved
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """`docs` less the rows with a doc_id of `rejected` (doc_id); rows without a doc_id cannot be told apart and stay."""
+    rejected = rejected.select(F.col("doc_id").alias("rejected_id")).where("rejected_id is not null").distinct()
+    return docs.join(rejected, docs["doc_id"] == F.col("rejected_id"), "left_anti")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality rules keep."""
+    names = docs.columns
+    found = quality_rules.measured(docs, keep=True)
+    rules = quality_rules.ordered(found, quality_rules.default_rules())
+    return found.where(quality_rules.verdict(rules)).select(names)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with their text less later occurrences of three-line windows, and n_chars to match; rows left without a word go."""
+    names = docs.columns
+    out = line_dedup.deduplicated(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(names)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts of similarity 0.8 or more: that with the smallest doc_id."""
+    found = near_dedup.near_duplicates(docs, percent=80)
+    return _without(docs, found.where("not kept").select("doc_id"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, with their places in sequences."""
+    return packing.packed(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack),
+]
+#: SQL cannot express near duplicates by sketches, tilings and packings; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = saved(docs, name)
     return docs
