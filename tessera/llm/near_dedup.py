@@ -1,8 +1,9 @@
 """Near-duplicate documents: banded MinHash candidates, odd sketches to sift them, exact shingle sets to confirm them.
 
 How it scales: one narrow pass turns each text into a fixed-size record (set hash, band keys, sketch). Equal sets fold into one class first, so copies never meet
-each other again. In a bucket of like band keys every class is compared with one hub; only classes that are then still in different components of one bucket are
-compared with each other, in salted blocks. So a group of near copies costs a star, not all its pairs, and no link between different texts is lost.
+each other again. In a bucket of like band keys every class is compared with one hub, then, where it is still apart, with a few hubs drawn by hash; only classes
+that are then still in different components of one bucket are compared with each other, in salted blocks and by a finer sketch. So a group of near copies costs
+stars, not all its pairs, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -22,18 +23,20 @@ from tessera.llm.textbytes import LOWER, mix, slices, span_hashes, spans, window
 
 #: Bands of the MinHash signature and samples in each: two sets of similarity 0.8 miss each other in all bands 3 times in a million, of 0.85 twice in ten million.
 BANDS, ROWS = 24, 4
-#: MinHash samples folded into the sketch (the bands use the first of them) and bits of the sketch.
-SAMPLES, BITS = 128, 512
-#: A pair goes on to the exact check if its sketch shows at least the threshold less this (over five standard errors).
-SLACK = 0.17
+#: MinHash samples folded into the sketch (the bands use the first of them) and bits of the sketch; the same of the finer sketch that open buckets use.
+SAMPLES, BITS, FINE_SAMPLES, FINE_BITS = 128, 512, 768, 2048
+#: A pair goes on to the exact check if its sketch shows at least the threshold less this (about five standard errors), and the same for the finer sketch.
+SLACK, FINE_SLACK = 0.17, 0.06
+#: Hubs drawn from a bucket that is still open, on average.
+HUBS = 8
 #: Documents to confirm whose ids may be broadcast (8 bytes each); more of them are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Classes in one block of a bucket.
 BLOCK = 1024
 
 _random = np.random.default_rng(7)
-_TIMES = _random.integers(0, 1 << 31, SAMPLES, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
-_PLUS = _random.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)[:, None]
+_TIMES = _random.integers(0, 1 << 31, FINE_SAMPLES, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
+_PLUS = _random.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint32)[:, None]
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -49,12 +52,12 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield windows(words[a:b], max(1, int(b - a))) + np.uint64(b - a)
 
 
-def samples(hashes: np.ndarray) -> np.ndarray:
-    """The MinHash samples of a set: for each of the permutations the least value."""
+def samples(hashes: np.ndarray, count: int = SAMPLES) -> np.ndarray:
+    """The MinHash samples of a set: for each of the first `count` permutations the least value."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    least = np.full(count, 0xFFFFFFFF, np.uint32)
     for k in range(0, len(short), 2048):
-        np.minimum(least, (short[k : k + 2048] * _TIMES + _PLUS).min(axis=1), out=least)
+        np.minimum(least, (short[k : k + 2048] * _TIMES[:count] + _PLUS[:count]).min(axis=1), out=least)
     return least
 
 
@@ -66,17 +69,17 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key
 
 
-def odd_sketches(least: np.ndarray) -> np.ndarray:
-    """(documents, BITS / 64) words: a bit is set if an odd number of (place, sample) pairs hash to it."""
-    place = np.arange(SAMPLES, dtype=np.uint64)[None, :] << np.uint64(32)
-    bit = (mix(least.astype(np.uint64) + place) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    counts = np.bincount((bit + BITS * np.arange(len(least))[:, None]).ravel(), minlength=BITS * len(least))
-    return np.packbits((counts & 1).astype(np.uint8).reshape(len(least), BITS), axis=1, bitorder="little").view(np.int64)
+def odd_sketches(least: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """(documents, bits / 64) words: a bit is set if an odd number of (place, sample) pairs hash to it."""
+    place = np.arange(least.shape[1], dtype=np.uint64)[None, :] << np.uint64(32)
+    bit = (mix(least.astype(np.uint64) + place) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    counts = np.bincount((bit + bits * np.arange(len(least))[:, None]).ravel(), minlength=bits * len(least))
+    return np.packbits((counts & 1).astype(np.uint8).reshape(len(least), bits), axis=1, bitorder="little").view(np.int64)
 
 
-def most_odd_bits(similarity: float) -> int:
+def most_odd_bits(similarity: float, count: int = SAMPLES, bits: int = BITS) -> int:
     """Bits in which the sketches of two sets differ that still speak for at least `similarity`: each different sample flips two random bits."""
-    return math.floor(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / BITS)))
+    return math.floor(bits / 2 * (1 - math.exp(-4 * count * (1 - similarity) / bits)))
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -101,41 +104,56 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(set_id, shingles) of each row with words."""
+    """(set_id, shingles, fine) of each row with words: the whole set and its finer sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                sets = [one for one in shingle_sets(batch.column(1).slice(a, 1024), width) if len(one)]
-                ids = pa.array([blake2b(one.tobytes(), digest_size=16).digest() for one in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, pa.array([one.view(np.int64) for one in sets], pa.list_(pa.int64()))], ["set_id", "shingles"])
+            for a in range(0, batch.num_rows, 256):
+                sets = [one for one in shingle_sets(batch.column(1).slice(a, 256), width) if len(one)]
+                if sets:
+                    ids = pa.array([blake2b(one.tobytes(), digest_size=16).digest() for one in sets], pa.binary())
+                    fine = odd_sketches(np.stack([samples(one, FINE_SAMPLES) for one in sets]), FINE_BITS)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([one.view(np.int64) for one in sets], pa.list_(pa.int64())), _lists(fine)], ["set_id", "shingles", "fine"])
 
-    return docs.mapInArrow(run, "set_id binary, shingles array<long>")
+    return docs.mapInArrow(run, "set_id binary, shingles array<long>, fine array<long>")
 
 
-def _similar_sketches(similarity: float) -> Column:
-    odd = sum((F.bit_count(F.col("a_sketch")[k].bitwiseXOR(F.col("b_sketch")[k])) for k in range(BITS // 64)), F.lit(0))
-    return odd <= most_odd_bits(similarity - SLACK)
+def _similar(percent: int, sketch: str, slack: float, count: int, bits: int) -> Column:
+    """What the sizes and the sketches of a pair allow."""
+    odd = sum((F.bit_count(F.col(f"a_{sketch}")[k].bitwiseXOR(F.col(f"b_{sketch}")[k])) for k in range(bits // 64)), F.lit(0))
+    return (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (odd <= most_odd_bits(percent / 100 - slack, count, bits))
 
 
-def _similar_sizes(percent: int) -> Column:
-    return F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+def _side(classes: DataFrame, side: str, sketch: str) -> DataFrame:
+    return classes.select(F.col("set_id").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col(sketch).alias(f"{side}_{sketch}"))
 
 
-def _side(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(F.col("set_id").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch"))
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose full shingle sets are as similar as asked; the sets are made again, from one text of each class."""
-    wanted = saved(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(classes.select("set_id", "doc_id"), "set_id"), "wanted")
+def _texts_of(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(set_id, n_shingles, shingles, fine) of the classes in `wanted` (set_id, doc_id), made again from one text of each."""
+    wanted = saved(wanted, "wanted")
     ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= MAX_BROADCAST_IDS else ids
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = saved(_sets(texts, width).join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+    sets = _sets(texts, width).join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    return saved(sets.select("set_id", F.size("shingles").cast("long").alias("n_shingles"), "shingles", "fine"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose full shingle sets are as similar as asked."""
     both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("a_set")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("b_set")), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.where(shared * 100 >= (F.size("a_set") + F.size("b_set") - shared) * percent).select("a", "b")
+    return saved(both.where(shared * 100 >= (F.size("a_set") + F.size("b_set") - shared) * percent).select("a", "b"), "links")
+
+
+def _open(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+    """(band, set_id, component, members, main) of buckets whose classes are in several components; main is the largest of them there."""
+    placed = saved(buckets.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").select("band", "set_id", "members", F.coalesce("component", "set_id").alias("component")), "placed")
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1")
+    return saved(placed.join(parts, "band").select("band", "set_id", "component", "members", F.col("largest.component").alias("main")), "open")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -155,22 +173,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 
     hubs = buckets.groupBy("band").agg(F.min("set_id").alias("b"))
     stars = buckets.join(hubs, "band").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
-    sifted = stars.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_similar_sizes(percent) & _similar_sketches(percent / 100)).select("a", "b")
-    tested = saved(sifted, "pairs")
-    links = saved(_confirmed(tested, classes, docs, width, percent), "links")
-    first = components(links)
+    like = _similar(percent, "sketch", SLACK, SAMPLES, BITS)
+    tested = saved(stars.join(_side(classes, "a", "sketch"), "a").join(_side(classes, "b", "sketch"), "b").where(like).select("a", "b"), "pairs")
+    ids = classes.select("set_id", "doc_id")
+    links = _confirmed(tested, _texts_of(tested.select(F.col("a").alias("set_id")).union(tested.select("b")).distinct().join(ids, "set_id"), docs, width), percent)
+
+    still = _open(buckets, components(links))
+    sets = _texts_of(still.select("set_id").distinct().join(ids, "set_id"), docs, width)
+    like = (F.col("a_component") != F.col("b_component")) & _similar(percent, "fine", FINE_SLACK, FINE_SAMPLES, FINE_BITS)
+    for blocks in (False, True):
+        salt = F.ceil(F.col("members") / BLOCK).cast("int") if blocks else F.lit(1)
+        drawn = F.lit(True) if blocks else F.pmod(F.xxhash64("set_id"), F.greatest(F.lit(1), F.floor(F.col("members") / HUBS))) == 0
+        few = still.where("component <> main").select("band", F.explode(F.sequence(F.lit(0), salt - 1)).alias("block"), F.col("set_id").alias("a"), F.col("component").alias("a_component"))
+        others = still.where(drawn).select("band", F.pmod(F.xxhash64("set_id"), salt).cast("int").alias("block"), F.col("set_id").alias("b"), F.col("component").alias("b_component"))
+        pairs = few.join(_side(sets, "a", "fine"), "a").join(others.join(_side(sets, "b", "fine"), "b"), ["band", "block"]).where(like).select("a", "b")
+        pairs = saved(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(pairs)
+        links = links.union(_confirmed(pairs, sets, percent))
+        joined = components(links)
+        if not blocks:
+            still = _open(buckets, joined)
 
-    placed = saved(buckets.join(first.withColumnRenamed("node", "set_id"), "set_id", "left").select("band", "set_id", "members", F.coalesce("component", "set_id").alias("component")), "placed")
-    parts = placed.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1")
-    open_ = placed.join(parts, "band").select("band", "set_id", "component", F.col("largest.component").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    open_ = saved(open_, "open")
-    few = open_.where("component <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("set_id").alias("a"), F.col("component").alias("a_component"))
-    all_ = open_.select("band", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"), F.col("set_id").alias("b"), F.col("component").alias("b_component"))
-    rest = few.join(_side(classes, "a"), "a").join(all_.join(_side(classes, "b"), "b"), ["band", "block"]).where((F.col("a_component") != F.col("b_component")) & _similar_sizes(percent) & _similar_sketches(percent / 100))
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = saved(_confirmed(saved(rest, "pairs"), classes, docs, width, percent), "links")
-
-    joined = components(links.union(more))
     members = classes.select("set_id", "doc_id").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     members = saved(members, "members")
     smallest = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
