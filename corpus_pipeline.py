@@ -24,10 +24,7 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep."""
-    names = docs.columns
-    found = quality_rules.measured(docs, keep=True)
-    rules = quality_rules.ordered(found, quality_rules.default_rules())
-    return found.where(quality_rules.verdict(rules)).select(names)
+    return quality_rules.kept_rows(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,9 +63,9 @@ SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM d),
 later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY ls[i], ls[i + 1], ls[i + 2] ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
-gone AS (SELECT doc_id, list(DISTINCT at) AS covered FROM (SELECT doc_id, i + unnest(range(3)) AS at FROM later) GROUP BY doc_id)
+gone AS (SELECT doc_id, list(DISTINCT spot) AS covered FROM (SELECT doc_id, i + unnest(range(3)) AS spot FROM later) GROUP BY doc_id)
 SELECT doc_id, CASE WHEN covered IS NULL THEN text
-    ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), x -> NOT list_contains(covered, x)), x -> ls[x]), chr(10)) END AS text,
+    ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda x: NOT list_contains(covered, x)), lambda x: ls[x]), chr(10)) END AS text,
   coalesce(len(ls), 0)::INTEGER AS n_lines, coalesce(len(covered), 0)::INTEGER AS n_removed
 FROM d LEFT JOIN gone USING (doc_id)
 """

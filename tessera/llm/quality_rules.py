@@ -48,7 +48,11 @@ _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_word
 
 
 def measured(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id and text, or with `keep` all columns of `docs`, with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long) in place of any such."""
+    """doc_id and text, or with `keep` all columns of `docs`, with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long) in place of any such.
+
+    A filter on these must name tessera_row too, a number of the row that is not deterministic: else the optimizer moves the filter below and makes the arrays anew
+    for each of their elements.
+    """
     text = F.coalesce("text", F.lit(""))
     own = [c for c in docs.columns if c not in _MEASURES] if keep else ["doc_id", "text"]
     docs = docs.select(*own, F.expr(r"trim(BOTH ' \t\n\u000b\f\r' FROM coalesce(text, ''))").alias("tessera_body"))
@@ -68,6 +72,7 @@ def measured(docs: DataFrame, keep: bool = False) -> DataFrame:
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("tessera_lines") - F.size(F.array_distinct("tessera_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.monotonically_increasing_id().alias("tessera_row"),
     )
 
 
@@ -76,25 +81,26 @@ def base_failed() -> Column:
 
 
 def ordered(docs: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
-    """The rules by rejection per cost on a sample of `measured` rows: the share of rows that a rule rejects over the time that it takes there.
+    """The rules by rejection per cost on a sample of `docs` (doc_id, text): the share of rows that a rule rejects over the time that it takes there.
 
     Only the order depends on the sample, never a verdict. The sample is the first SAMPLE_ROWS that a hash selects, so few partitions are read; of its rows only
     those that pass the base limits count, as only they reach the cascade.
     """
-    found = docs.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE_ONE_IN)) == 0) & (F.length("text") <= SAMPLE_CHARS) & ~base_failed()).select("doc_id", "text", *_MEASURES).limit(SAMPLE_ROWS).collect()
-    if not found:
+    docs = docs.select("doc_id", "text")
+    found = docs.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE_ONE_IN)) == 0) & (F.length("text") <= SAMPLE_CHARS)).limit(SAMPLE_ROWS).collect()
+    sample = measured(docs.sparkSession.createDataFrame(found, docs.schema).repartition(1)).where(~base_failed() & (F.col("tessera_row") >= 0))
+    sample = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("repeat")).cache()
+    if not sample.count():
         return list(rules)
-    sample = docs.sparkSession.createDataFrame(found, docs.select("doc_id", "text", *_MEASURES).schema).repartition(1).select("*", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("repeat")).cache()
-    sample.count()
     tried = []
     for rule in rules:
         rejected = sample.agg(F.avg(F.coalesce(rule.fails, F.lit(False)).cast("double")))
         rejected.first()  # compiles
         began = time.perf_counter()
         share = rejected.first()[0]
-        tried.append((share / (time.perf_counter() - began), share, rule))
+        tried.append((share / (time.perf_counter() - began), rule))
     sample.unpersist()
-    return [rule for _, _, rule in sorted(tried, key=lambda x: -x[0])]
+    return [rule for _, rule in sorted(tried, key=lambda x: -x[0])]
 
 
 def verdict(rules: Sequence[Rule]) -> Column:
@@ -112,21 +118,26 @@ def quality(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     Defined cases: a null or empty text has no words and fails the base limits; a null doc_id stays null; repeated rows each get their own, equal, row; an empty
     table gives no rows.
     """
-    found = measured(docs)
-    rules = ordered(found, default_rules() if rules is None else rules)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict(rules).alias("kept"))
+    rules = ordered(docs, default_rules() if rules is None else rules)
+    return measured(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict(rules).alias("kept"))
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text and any other columns) less the rows that the default rules reject."""
+    rules = ordered(docs, default_rules())
+    return measured(docs, keep=True).where(verdict(rules) & (F.col("tessera_row") >= 0)).select(docs.columns)
 
 
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT row, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT row, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 runs AS (SELECT row, i, ws[i:i + 4] AS run FROM (SELECT row, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, run) AS n FROM runs) WHERE n > 1),
-again AS (SELECT row, count(DISTINCT at) AS n FROM (SELECT row, i + unnest(range(5)) AS at FROM twice) GROUP BY row),
+again AS (SELECT row, count(DISTINCT spot) AS n FROM (SELECT row, i + unnest(range(5)) AS spot FROM twice) GROUP BY row),
 m AS (SELECT doc_id, ls, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-  len(list_filter(ws, x -> NOT regexp_matches(x, '\p{L}'))) AS bare, len(list_filter(ls, x -> regexp_matches(x, '^[ \t]*[-*\x{2022}\x{25cf}\x{25aa}][ \t]'))) AS bullets,
-  len(list_filter(ls, x -> regexp_matches(x, '(\.\.\.|\x{2026})[ \t\r]*$'))) AS dots FROM w LEFT JOIN again USING (row)),
+  len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{L}'))) AS bare, len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[-*\x{2022}\x{25cf}\x{25aa}][ \t]'))) AS bullets,
+  len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[ \t\r]*$'))) AS dots FROM w LEFT JOIN again USING (row)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 15 OR n_dup_lines * 10 > len(ls) * 3
