@@ -10,6 +10,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,16 +27,18 @@ CAPACITY, END_ID = 1024, 2
 #: Pieces packed together.
 SHARD = 20_000
 #: Bytes tokenized at once and different words kept with their ids (then the store starts anew).
-SLICE_BYTES, MAX_WORDS = 2 << 20, 400_000
+SLICE_BYTES, MAX_WORDS = 2 << 20, 1_200_000
 #: Underfull bins in a row that the search may fail to empty before it ends.
 PATIENCE = 100
 SPECIAL = b"<|endoftext|>"
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of stretches that a byte-level BPE encodes independently: a word with the one white-space byte before it.
+    """Starts of stretches that a byte-level BPE encodes independently: letters with the one white-space byte before them, or signs that follow letters.
 
-    Its pre-tokenizer always breaks before the last white-space character in front of another character. Next to bytes beyond ASCII, which may be white space
+    Its pre-tokenizer ends a run of letters at whatever else follows. It always breaks before the last white-space character in front of another character. Next to bytes beyond ASCII, which may be white space
     too, a stretch starts only where the white space is that one byte after an ASCII character.
     """
     n = len(data)
@@ -46,11 +49,22 @@ def units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut = np.zeros(n, bool)
     cut[:-1] = space[:-1] & word[1:]
     cut[1:-1] |= space[1:-1] & ~ascii_[2:] & word[:-2]
-    cut[offsets[offsets > 0] - 1] = False
+    letter = LETTER[data]
+    cut[1:] |= letter[:-1] & word[1:] & ~letter[1:]
+    cut[offsets[offsets > 0] - 1] &= ~space[offsets[offsets > 0] - 1]
     cut[offsets[offsets < n]] = True
     return np.flatnonzero(cut)
 
 
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for `size` values at least; room doubles, so that copies stay rare."""
+    if size <= len(array):
+        return array
+    out = np.empty(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 class Encoder:
     """Token ids of whole texts; each different stretch is encoded once and its ids are kept by hash."""
 
@@ -63,16 +77,20 @@ class Encoder:
 
     def forget(self) -> None:
         self.at: dict[int, int] = {}
-        self.pool = np.array([END_ID], np.uint32)
+        self.pool, self.filled = np.array([END_ID], np.uint32), 1
         self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)  # place 0: the end of a document
 
     def learn(self, texts: list[str], hashes: list[int]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at.update(zip(hashes, range(len(self.length), len(self.length) + len(ids)), strict=True))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
+        first = len(self.at) + 1
+        self.at.update(zip(hashes, range(first, first + len(ids)), strict=True))
+        self.start, self.length = (_grown(x, first + len(ids)) for x in (self.start, self.length))
+        self.pool = _grown(self.pool, self.filled + int(lengths.sum()))
+        self.start[first : first + len(ids)] = self.filled + np.cumsum(lengths) - lengths
+        self.length[first : first + len(ids)] = lengths
+        self.pool[self.filled : self.filled + int(lengths.sum())] = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        self.filled += int(lengths.sum())
 
     def places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The place of each stretch in the store, learning new ones."""
