@@ -55,7 +55,7 @@ def measured(docs: DataFrame, keep: bool = False) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     own = [c for c in docs.columns if c not in _MEASURES] if keep else ["doc_id", "text"]
-    docs = docs.select(*own, F.expr(r"trim(BOTH ' \t\n\u000b\f\r' FROM coalesce(text, ''))").alias("tessera_body"))
+    docs = docs.select(*own, F.expr(r"trim(BOTH ' \t\n\u000b\u000c\r' FROM coalesce(text, ''))").alias("tessera_body"))
     docs = docs.withColumn("tessera_words", F.when(F.col("tessera_body") == "", F.array().cast("array<string>")).otherwise(F.split("tessera_body", _BLANK + "+")))
     docs = docs.withColumn("tessera_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD))).withColumn("n_words", F.size("tessera_words").cast("long"))
     run = F.transform("tessera_words", lambda _, i: F.xxhash64(*(F.get("tessera_words", i + k) for k in range(WINDOW))))

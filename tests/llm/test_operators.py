@@ -583,11 +583,10 @@ def test_pii(spark, empty):
         new = by[k].text.removeprefix("some text ").removesuffix(" and more")
         assert new != e
         assert by[k].n_entities == 1
-        assert re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", new))).count("a") >= 0
         assert len(new) == len(e) or "." in e
         assert new in by[26].text
     assert pii.luhn(by[3].text.split()[2])
-    assert by[0].text.split()[2].endswith(".example.com".removeprefix("."[:0])[-4:])
+    assert re.fullmatch(r"[a-z]{2}\.\d\d@mail7\.[a-z]{7}\.com", by[0].text.split()[2])
     assert '"' in by[20].text
     assert "04dbebab" not in by[20].text
     assert re.fullmatch('x token = "[0-9a-f]{40}" y', by[20].text)
