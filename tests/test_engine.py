@@ -590,3 +590,76 @@ def test_watch(spark, tmp_path):
     assert seen == ["one.tex", "two.html"]
     with pytest.raises(ValueError):
         watch(spark, [str(tmp_path / "none")], handle, str(tmp_path / "c2"))
+
+
+# whole runs, word-processor files and pages
+
+
+def test_run(spark):
+    from tessera.plans import run
+
+    sources = spark.createDataFrame(SOURCES, "doc_id string, path string, text string").where("doc_id in ('md', 'tex', 'bad', 'sniff')")
+    out = run.run(sources)
+    assert {r.doc_id for r in out.errors.collect()} == {"bad"}
+    assert {r.doc_id: r.passed for r in out.passed.collect()} == {"md": True, "tex": True, "sniff": False}
+    got = {(r.doc_id, r.stage, r.name) for r in out.findings.collect()}
+    assert ("sniff", "ingest", "Schema") in got
+    assert ("md", "check", "Headings") in got
+    md = out.records.where("doc_id = 'md'").first().resume
+    assert md.meta.headings == {"summary": "Summary", "skills": "Skills", "experience": "Experience"}
+    assert run.recorded(out).count() == 3
+    with pytest.raises(ValueError):
+        run.run(sources, extractor="oracle")
+
+
+def test_formats(records):
+    import io
+    import xml.dom.minidom
+    import zipfile
+
+    from tessera.plans import run
+
+    got = run.rendered(records.where("doc_id = 'md'")).first()
+    assert got.name == "Ana_Diaz_Resume"
+    with zipfile.ZipFile(io.BytesIO(bytes(got.docx))) as z:
+        parts = {n: xml.dom.minidom.parseString(z.read(n)) for n in z.namelist()}
+    body = parts["word/document.xml"].documentElement
+    words = "".join(t.firstChild.data for t in body.getElementsByTagName("w:t") if t.firstChild)
+    for piece in ("Ana Diaz", "Acme", "Jun 2020 – Present", "Did ", "much", "Python, SQL", "Chess"):
+        assert piece in words
+    assert not body.getElementsByTagName("w:tbl")
+    assert "https://site.org" in parts["word/_rels/document.xml.rels"].toxml()
+    with pytest.raises(ValueError):
+        run.rendered(records, formats=("pdf",))
+
+
+def test_batch(spark, tmp_path):
+    from tessera.plans import run
+
+    for name in ("a/cv.html", "b/cv.html"):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(HTML)
+    (tmp_path / "b" / "odd.tex").write_bytes(b"\xff")
+    out = run.batch(spark, str(tmp_path))
+    assert out.records.count() == 2
+    assert out.errors.count() == 1
+
+
+def test_pages(spark, records):
+    from tessera.plans import pages
+
+    rows = [("a", 1, 595.3, 841.9, "text", [("F", True)], 100), ("b", 1, 612.0, 792.0, " ", [("F", False)], 3_000_000), ("b", 2, 595.3, 841.9, "x", [], 3_000_000), ("b", 3, 595.3, 841.9, "x", [], 3_000_000)]
+    frame = spark.createDataFrame(rows, "doc_id string, page int, width double, height double, text string, fonts array<struct<name:string,embedded:boolean>>, file_bytes long")
+    got = sorted(r.detail for r in pages.hygiene(frame).collect())
+    assert got == ["3 pages, limit is 2", "3.00 MB, limit is 2.0", "page 1 has no text", "page 1 is not a4", "page 1: font F is not embedded"]
+    words = spark.createDataFrame([("d", p, line, 100.0 + line, 50.0, 50.0, 800.0) for p in (1, 2, 3) for line in range(4)], "doc_id string, page int, line int, bottom double, top_margin double, bottom_margin double, height double")
+    r = pages.overflow(words, 2).first()
+    assert (r.pages, r.beyond) == (3, 4)
+    assert r.fill == pytest.approx(53 / 700)
+    top = records.where("doc_id = 'md'").select(pages.longest(render.sections(F.col("resume"), CONFIG)).alias("x")).first().x
+    assert top.sections[0].text == "Experience"
+    assert [b.characters for b in top.bullets] == [12, 8, 5]
+    fitted = pages.fit({"size": 10.0}, {"size": 8.0}, lambda s: (1 if s["size"] <= 9 else 2, 0.5), 1)
+    assert (fitted.fits, fitted.tries, fitted.settings) == (True, 3, {"size": 9.0})
+    assert pages.fit({"size": 10.0}, {"size": 8.0}, lambda s: (2, 0.5), 1) == pages.Fit({"size": 10.0}, 2, False, 8)
+    assert pages.fit({"size": 10.0}, {}, lambda s: (2, 0.1), 2).warning == "the last page is 10% full"
