@@ -1,7 +1,7 @@
 """Surrogates for personal data: what is found in a text is replaced by something of the same kind and shape.
 
 How it scales: detection and replacement are one narrow pass without any table of entities. A surrogate is a keyed permutation of the entity's own format, so equal
-entities get equal surrogates everywhere and different ones different ones, by construction, in any number of tasks.
+entities get equal surrogates everywhere and different ones different ones, by construction, in any number of tasks. A check over a corpus is one aggregation.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from hashlib import sha256
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rounds of the Feistel network; longer entities are replaced in parts of so many characters.
 ROUNDS, CHUNK = 8, 64
@@ -46,6 +47,10 @@ DETECT = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
 #: A text without any of these has no entity.
 HINT = r"@|\d|[A-Za-z0-9_-]{20}|(?i:token|secret|passw|pwd|api.?key|access.?key)|\b(?:" + "|".join(TITLES) + r")\.? "
 
+#: Names that are replaced by others of their list, and beginnings of keys that keep them.
+LISTED = frozenset(n for listed in NAMES.values() for n in listed)
+KNOWN = re.compile(r"AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ|[0-9a-f]+$")
+
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
@@ -117,6 +122,8 @@ class Surrogates:
         if kind == "card" and luhn(entity):
             digits = [c for c in entity if c.isdigit()]
             return refill(entity, with_check(self.shaped("card" + digits[0], "".join(digits[1:-1])), digits[0]))
+        if kind == "card":
+            return self.walked("card", entity, luhn)
         if kind == "iban":
             return entity[:2] + self.shaped("iban" + entity[:2], entity[2:])
         if kind == "phone":
@@ -125,13 +132,20 @@ class Surrogates:
             return entity[:keep] + self.shaped("phone" + entity[:keep], entity[keep:])
         if kind == "key":
             lead = re.match(r"AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ|", entity).end()
-            return entity[:lead] + self.shaped(kind, entity[lead:], bool(re.fullmatch("[0-9a-f]+", entity)))
+            return entity[:lead] + self.shaped("secret" + entity[:lead], entity[lead:], bool(re.fullmatch("[0-9a-f]+", entity)))
         if kind == "secret":
-            return self.shaped(kind, entity, bool(re.fullmatch("[0-9a-f]+", entity)))
+            return self.walked(kind, entity, KNOWN.match) if not re.fullmatch("[0-9a-f]+", entity) else self.shaped(kind, entity, True)
         if kind == "name":
             return " ".join(self.name(part, gender if k == 0 else "") for k, part in enumerate(entity.split(" ")))
         return self.shaped(kind, entity)
 
+    def walked(self, label: str, text: str, taken) -> str:
+        """`shaped`, again and again until the result is none that another rule may give: a permutation of the texts that are not `taken`."""
+        text = self.shaped(label, text)
+        while taken(text):
+            text = self.shaped(label, text)
+        return text
+
     def name(self, name: str, gender: str) -> str:
         """A listed first name of that script and gender becomes another of its list; any other name one of the same shape, letters of its script."""
         for (_, own), listed in NAMES.items():
@@ -148,7 +162,7 @@ class Surrogates:
                 x, d = divmod(x, len(low))
                 out[k] = low[d].upper() if name[k].isupper() else low[d]
             return "".join(out)
-        return self.shaped("name", name)
+        return self.walked("name", name, LISTED.__contains__)
 
 
 def luhn(number: str) -> bool:
@@ -165,36 +179,49 @@ def refill(shape: str, digits: str) -> str:
     return "".join(next(left) if c.isdigit() else c for c in shape)
 
 
-def replaced(text: str, surrogates: Surrogates) -> tuple[str, Counter]:
-    """The text with surrogates, and how many entities of each kind it had.
-
-    After the pass, a surrogate is checked against the text's other entities: if two entities came to one surrogate, or one to another's own text, the later is
-    shaped anew until they differ.
-    """
-    out, at, kinds = [], 0, Counter()
-    given: dict[tuple[str, str], str] = {}
-    taken: dict[str, tuple[str, str]] = {}
+def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
+    """(kind, from, to, gender) of what is found, from left to right."""
     for m in DETECT.finditer(text):
-        kind = m.lastgroup if m.lastgroup in ("secret", "name") else next(k for k in PATTERNS if m.group(f"k_{k}") is not None)
+        kind = next(k for k in PATTERNS if m.group(f"k_{k}") is not None)
         a, b = m.span(kind if kind in ("secret", "name") else f"k_{kind}")
-        entity = text[a:b]
-        if (kind, entity) not in given:
-            gender = TITLES.get(m.group("title") or "", "")
-            new = surrogates.of(kind, entity, gender)
-            while taken.setdefault(new, (kind, entity)) != (kind, entity):
-                new = surrogates.shaped("again", new)
-            given[kind, entity] = new
-        out += [text[at:a], given[kind, entity]]
+        yield kind, a, b, TITLES.get(m.group("title") or "", "")
+
+
+def replaced(text: str, surrogates: Surrogates) -> tuple[str, Counter]:
+    """The text with surrogates, and how many entities of each kind it had."""
+    out, at, kinds = [], 0, Counter()
+    for kind, a, b, gender in entities(text):
+        out += [text[at:a], surrogates.of(kind, text[a:b], gender)]
         at = b
         kinds[kind] += 1
     return "".join([*out, text[at:]]), kinds
 
 
+def collisions(docs: DataFrame, key: str) -> DataFrame:
+    """(surrogate, n_entities, is_entity): surrogates that stand for several different entities of `docs` (doc_id, text), or that are entities of the corpus themselves.
+
+    The check over the whole corpus: different entities meet by hash of the surrogate, combined on the map side. By construction no row has n_entities over 1; one
+    with is_entity says that a surrogate happens to be somebody else's: another key avoids it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surrogates = Surrogates(key.encode())
+        for batch in batches:
+            found = {(surrogates.of(kind, text[a:b], gender), text[a:b]) for text in batch.column(0).to_pylist() if text for kind, a, b, gender in entities(text)}
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], ["surrogate", "entity"])
+
+    pairs = docs.select("text").mapInArrow(run, "surrogate string, entity string").distinct()
+    named = pairs.select("surrogate", F.lit(1).alias("n"), F.lit(False).alias("own")).unionByName(pairs.select(F.col("entity").alias("surrogate"), F.lit(0).alias("n"), F.lit(True).alias("own")).distinct())
+    met = named.groupBy("surrogate").agg(F.sum("n").alias("n_entities"), F.bool_or("own").alias("is_entity"))
+    return met.where("n_entities > 1 or (n_entities = 1 and is_entity)")
+
+
 def surrogated(docs: DataFrame, key: str) -> DataFrame:
     """`docs` (doc_id, text and other columns) with `text` less its personal data, and with n_entities (int) and entities, a map from kind to number.
 
     Kinds: email, secret, key, iban, ip, card, ssn, phone, name (after a title). A surrogate depends on `key`, kind and entity alone, so coreference holds across
-    the corpus; within a format the mapping is a permutation without fixed points, so different entities stay different and none stays itself. Domain levels above
+    the corpus; within a format the mapping is a permutation, so different entities stay different, which `collisions` checks over a corpus. Domain levels above
     the last but one, country codes, card networks' first digits and valid check digits are kept in form. Defined cases: a null text stays null and an empty one
     empty, with no entities; repeated rows get equal texts; a null doc_id changes nothing; columns n_entities and entities that were there are replaced; an empty
     table gives no rows.

@@ -600,3 +600,16 @@ def test_pii(spark, empty):
     assert by[25].text == ""
     assert len({r.text for r in got if r.doc_id == 26}) == 1
     assert pii.surrogated(empty, "key").count() == 0
+
+
+def test_no_two_entities_share_a_surrogate(spark):
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    made = [f"{rng.choice('abc')}{digits(2)}@mail{rng.randrange(3)}.org" for _ in range(300)] + [digits(16) for _ in range(300)] + [f"10.{rng.randrange(4)}.{rng.randrange(9)}.{rng.randrange(9)}" for _ in range(200)]
+    made += [f"({digits(2)}5) 555-{digits(4)}" for _ in range(200)] + [f'token = "{digits(3)}abcde"' for _ in range(200)] + [f"Mr. {x}" for x in ("Anna", "Paul", "Quux", "Quuy", "Zoe", "Иван", "Олег", "Боря")]
+    docs = spark.createDataFrame([(k, f"see {x} here") for k, x in enumerate(made)] + [(None, None)], "doc_id long, text string")
+    assert pii.collisions(docs, "key").where("n_entities > 1").count() == 0
+    s = pii.Surrogates(b"key")
+    pairs = {(x[a:b], s.of(kind, x[a:b], g)) for x in made for kind, a, b, g in pii.entities(x)}
+    assert len(pairs) == len({e for e, _ in pairs}) == len({n for _, n in pairs})
+    assert pii.collisions(docs.limit(0), "key").count() == 0
