@@ -22,7 +22,7 @@ MAGIC = b"WARC/1."
 CUT = b"\r\n\r\n" + MAGIC
 #: The least payload that a revisit record may stand for.
 LEAST_REVISIT = 100
-#: Bytes of an archive in one bucket when payloads are put together, and records whose list may be broadcast (about 200 bytes each).
+#: Bytes of an archive in one bucket when payloads are put together, and rows of a list that may be broadcast (about 200 bytes each).
 BUCKET, MAX_BROADCAST = 1 << 20, 100_000
 DATE = "1970-01-01T00:00:00Z"
 
@@ -39,6 +39,8 @@ def write(pages: DataFrame, path: str, date: str = DATE) -> None:
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     first = pages.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = saved(first, "repeated")  # payloads that occur once need no company: few enough of the others travel to the pages, else the pages to them
+    first = F.broadcast(first) if first.count() <= MAX_BROADCAST else first
     pages = pages.join(first, "digest", "left").withColumn("again", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     size = F.octet_length("html").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit("\r\n\r\n"))
