@@ -154,13 +154,15 @@ def markup_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains({_norm('d.text')}, {_norm('b.text')})")
 def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by their first words, then the exact test: no pair that shares nothing is ever formed."""
-    words = lambda c: F.split(c, " ")
-    seed = lambda w, i=F.lit(0), n=5: F.xxhash64(*(F.get(w, i + k) for k in range(n)))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("hay")).withColumn("w", words(F.col("hay")))
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.normalize(F.col("text")).alias("needle")).withColumn("seed", seed(words(F.col("needle"))))
-    runs = docs.withColumn("seed", F.explode(F.array_distinct(F.transform("w", lambda _, i: seed(F.col("w"), i)))))
-    return runs.join(items.select("item_id", "needle", "seed"), "seed").where(F.contains("hay", F.col("needle"))).select("doc_id", "item_id").distinct()
+    """Candidates by the hash of their first words, then the exact test: no pair that shares nothing is ever formed, and texts meet candidates only."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("hay"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.normalize(F.col("text")).alias("needle"))
+    words = 5
+    heads = items.select("item_id", F.xxhash64(F.array_join(F.slice(F.split("needle", " "), 1, words), " ")).alias("seed"))
+    split = docs.select("doc_id", F.split("hay", " ").alias("w"))
+    seeds = F.transform("w", lambda _, i: F.xxhash64(F.array_join(F.slice("w", i + 1, words), " ")))
+    candidates = split.select("doc_id", F.explode(F.array_distinct(seeds)).alias("seed")).join(heads, "seed").select("doc_id", "item_id").distinct()
+    return docs.join(candidates, "doc_id").join(items, "item_id").where(F.contains("hay", F.col("needle"))).select("doc_id", "item_id").distinct()
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '{_NUM}')) AS number FROM conversations)
