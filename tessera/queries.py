@@ -109,8 +109,17 @@ def date_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", dates.shown(F.col("value")).alias("label"), dates.month_index(F.col("value")).cast("int").alias("months"))
 
 
-@query()
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS start, CASE WHEN o_orderkey % 3 = 0 THEN 'present' ELSE strftime(o_orderdate + INTERVAL 400 DAY, '%Y-%m') END AS end FROM orders")
 def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges found again in sentences that are made of orders."""
+    end = F.when(F.col("o_orderkey") % 3 == 0, F.lit("now")).otherwise(F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 400 DAYS"), "MM/yyyy"))
+    said = F.concat(F.lit("Order x"), F.col("o_orderkey").cast("string"), F.lit(", "), F.date_format("o_orderdate", "MMMM yyyy"), F.lit(" – "), end, F.lit("; v2010.1"))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(dates.ranges(said)).alias("range"))
+    return found.select("o_orderkey", "range.start", "range.end")
+
+
+@query()
+def document_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(dates.ranges(F.col("text"))).alias("range")).select("doc_id", "range.start", "range.end")
 
 
@@ -301,10 +310,10 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT c_custkey AS custkey, trim(regexp_replace(c_name, '[^A-Za-z0-9]', '_', 'g')) AS stem, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey")
+@query(r"SELECT c_custkey AS custkey, regexp_replace(c_name, '[^\p{L}\p{N}\p{M}]', '', 'g') || '_Resume_' || replace(trim(regexp_replace(n_name, '[^\p{L}\p{N}\p{M} ]', '', 'g')), ' ', '_') AS stem FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    return customers.select(F.col("c_custkey").alias("custkey"), F.regexp_replace("c_name", "[^A-Za-z0-9]", "_").alias("stem"), F.col("n_name").alias("nation"))
+    return customers.select(F.col("c_custkey").alias("custkey"), render.output_name(F.col("c_name"), F.col("n_name")).alias("stem"))
 
 
 # documents through sources, records, checks and renderings
