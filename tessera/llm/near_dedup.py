@@ -124,8 +124,8 @@ def _similar(percent: int, sketch: str, slack: float, count: int, bits: int) ->
     return (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (odd <= most_odd_bits(percent / 100 - slack, count, bits))
 
 
-def _side(classes: DataFrame, side: str, sketch: str) -> DataFrame:
-    return classes.select(F.col("set_id").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col(sketch).alias(f"{side}_{sketch}"))
+def _side(classes: DataFrame, side: str, *columns: str) -> DataFrame:
+    return classes.select(F.col("set_id").alias(side), F.col("n_shingles").alias(f"{side}_n"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
 
 
 def _texts_of(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -180,13 +180,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 
     still = _open(buckets, components(links))
     sets = _texts_of(still.select("set_id").distinct().join(ids, "set_id"), docs, width)
-    like = (F.col("a_component") != F.col("b_component")) & _similar(percent, "fine", FINE_SLACK, FINE_SAMPLES, FINE_BITS)
+    # a pair meets in the first band that it shares: if it is apart, that bucket is open, and one of the two is not in its largest component
+    meets = F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0)) == F.col("band")
+    like = (F.col("a_component") != F.col("b_component")) & _similar(percent, "fine", FINE_SLACK, FINE_SAMPLES, FINE_BITS) & meets
+    ends = sets.select("set_id", "n_shingles", "fine").join(classes.select("set_id", "bands"), "set_id")
     for blocks in (False, True):
         salt = F.ceil(F.col("members") / BLOCK).cast("int") if blocks else F.lit(1)
         drawn = F.lit(True) if blocks else F.pmod(F.xxhash64("set_id"), F.greatest(F.lit(1), F.floor(F.col("members") / HUBS))) == 0
         few = still.where("component <> main").select("band", F.explode(F.sequence(F.lit(0), salt - 1)).alias("block"), F.col("set_id").alias("a"), F.col("component").alias("a_component"))
         others = still.where(drawn).select("band", F.pmod(F.xxhash64("set_id"), salt).cast("int").alias("block"), F.col("set_id").alias("b"), F.col("component").alias("b_component"))
-        pairs = few.join(_side(sets, "a", "fine"), "a").join(others.join(_side(sets, "b", "fine"), "b"), ["band", "block"]).where(like).select("a", "b")
+        pairs = few.join(_side(ends, "a", "fine", "bands"), "a").join(others.join(_side(ends, "b", "fine", "bands"), "b"), ["band", "block"]).where(like).select("a", "b")
         pairs = saved(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(pairs)
         links = links.union(_confirmed(pairs, sets, percent))
