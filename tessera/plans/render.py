@@ -123,9 +123,14 @@ def contacts(basics: Column) -> Column:
     return F.concat(F.array_compact(own), F.transform(basics["links"], lambda x: item(F.coalesce(x["text"], display_url(x["url"])), x["url"])))
 
 
-def rendered(resume: Column, config: Config | None = None, markdown: bool = False) -> Column:
-    """A record as text; Markdown keeps bold and links, plain text shows addresses."""
-    config = config or Config()
+def viewed(docs: DataFrame, config: Config | None = None) -> DataFrame:
+    """`docs` with `parts`, the sections of `resume`: one column that all renderings of a row can share, which keeps plans small."""
+    return docs.withColumn("parts", sections(F.col("resume"), config or Config()))
+
+
+def rendered(resume: Column, config: Config | None = None, markdown: bool = False, parts: Column | None = None) -> Column:
+    """A record as text; Markdown keeps bold and links, plain text shows addresses. `parts` are its sections, if they are there already."""
+    parts = sections(resume, config or Config()) if parts is None else parts
     basics, empty = resume["basics"], F.array().cast("array<string>")
     lines = lambda *x: F.array(*(F.lit(v) if isinstance(v, str) else v for v in x))
     shown_contact = lambda c: F.when(~F.coalesce(c["url"], F.lit("")).startswith("http"), c["text"]).otherwise(F.concat(F.lit("["), c["text"], F.lit("]("), c["url"], F.lit(")")) if markdown else display_url(c["url"]))
@@ -143,23 +148,23 @@ def rendered(resume: Column, config: Config | None = None, markdown: bool = Fals
         heading = F.concat(F.lit("## "), s["heading"]) if markdown else F.upper(s["heading"])
         return F.concat(lines("", heading, *gap), F.flatten(F.transform(s["blocks"], block)))
 
-    every = F.concat(top, F.flatten(F.transform(sections(resume, config), section)))
+    every = F.concat(top, F.flatten(F.transform(parts, section)))
     if not markdown:
         every = F.transform(every, lambda x: F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+$", ""))
     return F.concat(F.regexp_replace(F.array_join(every, "\n"), r"(?U)[\s\x1c-\x1f]+$", ""), F.lit("\n"))
 
 
-def flat_items(resume: Column, config: Config | None = None) -> Column:
+def flat_items(resume: Column, config: Config | None = None, parts: Column | None = None) -> Column:
     """array<string> of the texts of a rendering in reading order: what an extraction must hold."""
-    config = config or Config()
+    parts = sections(resume, config or Config()) if parts is None else parts
     basics = resume["basics"]
-    body = F.flatten(F.transform(sections(resume, config), lambda s: F.concat(F.array(s["heading"]), F.flatten(F.transform(s["blocks"], lambda b: F.concat(F.flatten(F.transform(F.arrays_zip(b["left"].alias("l"), b["right"].alias("r")), lambda p: F.array(p["l"], p["r"]))), b["texts"], b["bullets"]))))))
+    body = F.flatten(F.transform(parts, lambda s: F.concat(F.array(s["heading"]), F.flatten(F.transform(s["blocks"], lambda b: F.concat(F.flatten(F.transform(F.arrays_zip(b["left"].alias("l"), b["right"].alias("r")), lambda p: F.array(p["l"], p["r"]))), b["texts"], b["bullets"]))))))
     every = F.concat(F.array(basics["name"], basics["headline"]), F.transform(contacts(basics), lambda c: c["text"]), body)
     return F.filter(F.transform(every, lambda x: F.replace(x, F.lit("**"), F.lit(""))), lambda x: _some(x) != "")
 
 
-def headings(resume: Column, config: Config | None = None) -> Column:
-    return F.transform(sections(resume, config or Config()), lambda s: s["heading"])
+def headings(resume: Column, config: Config | None = None, parts: Column | None = None) -> Column:
+    return F.transform(sections(resume, config or Config()) if parts is None else parts, lambda s: s["heading"])
 
 
 def output_name(name: Column, company: Column) -> Column:

@@ -49,7 +49,8 @@ def run(sources: DataFrame, config: Config | None = None, extractor: str = "rule
     failures = invalid.unionByName(verified)
     passed = verify.rolled_up(records, failures).select("doc_id", "passed")
     good = records.join(passed.where("passed"), "doc_id", "left_semi")
-    shown = good.select("doc_id", "resume", render.headings(F.col("resume"), config).alias("headings"), render.flat_items(F.col("resume"), config).alias("expected"), render.rendered(F.col("resume"), config).alias("text"))
+    resume, parts = F.col("resume"), F.col("parts")
+    shown = render.viewed(good, config).select("doc_id", "resume", render.headings(resume, parts=parts).alias("headings"), render.flat_items(resume, parts=parts).alias("expected"), render.rendered(resume, parts=parts).alias("text"))
     findings = failures.unionByName(lint.linted(records)).unionByName(quality.checked(shown, config))
     return Outcome(records, findings, passed, errors)
 
@@ -59,9 +60,9 @@ def rendered(records: DataFrame, config: Config | None = None, formats: tuple[st
     config = config or Config()
     if unknown := [f for f in formats if f not in FORMATS]:
         raise ValueError(f"formats {unknown}: there are {', '.join(FORMATS)}")
-    resume = F.col("resume")
-    made = {"txt": render.rendered(resume, config), "md": render.rendered(resume, config, markdown=True), "json": render.json_resume(resume)}
-    out = records.select("doc_id", render.output_name(resume["basics"]["name"], resume["meta"]["target_company"]).alias("name"), *(made[f].alias(f) for f in formats if f in made))
+    resume, parts = F.col("resume"), F.col("parts")
+    made = {"txt": render.rendered(resume, parts=parts), "md": render.rendered(resume, markdown=True, parts=parts), "json": render.json_resume(resume)}
+    out = render.viewed(records, config).select("doc_id", render.output_name(resume["basics"]["name"], resume["meta"]["target_company"]).alias("name"), *(made[f].alias(f) for f in formats if f in made))
     for name, other in (("yaml", render.yaml_text), ("docx", docx.packages)):
         if name in formats:
             out = out.join(other(records), "doc_id")

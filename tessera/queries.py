@@ -379,13 +379,15 @@ def lint_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _records(spark, sf_dir).where("resume.basics.name is not null")
-    return found.select("doc_id", render.rendered(F.col("resume")).alias("plain"), render.rendered(F.col("resume"), markdown=True).alias("markdown"), render.json_resume(F.col("resume")).alias("json"))
+    resume, parts = F.col("resume"), F.col("parts")
+    return render.viewed(found).select("doc_id", render.rendered(resume, parts=parts).alias("plain"), render.rendered(resume, markdown=True, parts=parts).alias("markdown"), render.json_resume(resume).alias("json"))
 
 
 @query()
 def check_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _records(spark, sf_dir).where("resume.basics.name is not null")
-    return quality.checked(found.select("doc_id", "resume", render.headings(F.col("resume")).alias("headings"), render.flat_items(F.col("resume")).alias("expected"), render.rendered(F.col("resume")).alias("text")))
+    resume, parts = F.col("resume"), F.col("parts")
+    return quality.checked(render.viewed(found).select("doc_id", "resume", render.headings(resume, parts=parts).alias("headings"), render.flat_items(resume, parts=parts).alias("expected"), render.rendered(resume, parts=parts).alias("text")))
 
 
 @query()
