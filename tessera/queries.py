@@ -163,15 +163,27 @@ def markup_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains({_norm('d.text')}, {_norm('b.text')})")
 def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by the hash of their first words, then the exact test: no pair that shares nothing is ever formed, and texts meet candidates only."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("hay"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.normalize(F.col("text")).alias("needle"))
-    words = 5
-    heads = items.select("item_id", F.xxhash64(F.array_join(F.slice(F.split("needle", " "), 1, words), " ")).alias("seed"))
-    split = docs.select("doc_id", F.split("hay", " ").alias("w"))
-    seeds = F.transform("w", lambda _, i: F.xxhash64(F.array_join(F.slice("w", i + 1, words), " ")))
-    candidates = split.select("doc_id", F.explode(F.array_distinct(seeds)).alias("seed")).join(heads, "seed").select("doc_id", "item_id").distinct()
-    return docs.join(candidates, "doc_id").join(items, "item_id").where(F.contains("hay", F.col("needle"))).select("doc_id", "item_id").distinct()
+    """Candidates by the hash of words inside an item, then the exact test.
+
+    An item's words but its first and last are whole words wherever it lies, so a run of them, 5 at most, is a seed that every text with the item has. Items of one
+    word or two have none and are tried on each text. Rows meet by hashes of all they hold, so null ids and repeated rows come out as often as SQL says.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("hay")).withColumn("row", F.xxhash64("doc_id", "hay"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.normalize(F.col("text")).alias("needle")).where("needle is not null")
+    items = items.withColumn("w", F.split("needle", " ")).withColumn("width", F.least(F.size("w") - 2, F.lit(5))).withColumn("item", F.xxhash64("item_id", "needle"))
+    widths = [r.width for r in items.select("width").distinct().collect()]
+    seed = lambda w, start, width: F.xxhash64(F.lit(width), F.array_join(F.slice(w, start, width), " "))
+    out = docs.join(items.where("width < 1"), F.contains("hay", F.col("needle"))).select("doc_id", "item_id")
+    whole = [k for k in range(1, 6) if k in widths]
+    if whole:
+        heads = items.where("width >= 1").select("item", F.coalesce(*(F.when(F.col("width") == k, seed("w", 2, k)) for k in whole)).alias("seed"))
+        runs = lambda k: F.transform("w", lambda _, i: seed("w", i + 1, k))
+        seeds = F.flatten(F.array(*map(runs, whole)))
+        split = docs.select("row", F.split("hay", " ").alias("w")).select("row", F.explode(F.array_distinct(seeds)).alias("seed"))
+        candidates = split.join(heads, "seed").select("row", "item").distinct()
+        found = docs.join(candidates, "row").join(items, "item").where(F.contains("hay", F.col("needle"))).select("doc_id", "item_id")
+        out = found.unionByName(out) if min(widths) < 1 else found
+    return out
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '{_NUM}')) AS number FROM conversations)

@@ -663,3 +663,17 @@ def test_pages(spark, records):
     assert (fitted.fits, fitted.tries, fitted.settings) == (True, 3, {"size": 9.0})
     assert pages.fit({"size": 10.0}, {"size": 8.0}, lambda s: (2, 0.5), 1) == pages.Fit({"size": 10.0}, 2, False, 8)
     assert pages.fit({"size": 10.0}, {}, lambda s: (2, 0.1), 2).warning == "the last page is 10% full"
+
+
+def test_passage_containment(spark, tmp_path):
+    """Items glued to signs, items of few words and none, null ids and repeated rows, against plain containment."""
+    from tessera.queries import passage_containment
+
+    texts = ['he said "alpha beta gamma delta eps zeta" end', "one two three four five six", "(alpha beta gamma delta eps, zeta", "xalpha beta gamma delta epsy", "nothing here", "", None]
+    docs = [*enumerate(texts), (None, texts[0]), (1, texts[1]), (1, texts[0])]
+    items = [(10, "alpha beta gamma delta eps zeta"), (11, "two three four"), (12, "alpha beta gamma delta eps"), (13, "three"), (14, "hree fo"), (15, ""), (16, None), (17, "absent words of no text at all"), (18, "beta gamma delta"), (11, "two three four"), (None, "one two three four five six")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = passage_containment(spark, f"file://{tmp_path}").collect()
+    want = [(i, k) for i, t in docs for k, n in items if t is not None and n is not None and n in t]
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in got) == sorted((str(i), str(k)) for i, k in want)
