@@ -44,8 +44,8 @@ PATTERNS = {
     "name": r"\b(?P<title>" + "|".join(TITLES) + r")\.? (?P<name>[^\W\d_a-zа-я]\w+(?:-[^\W\d_]\w+)?(?: [^\W\d_a-zа-я]\w+)?)",
 }
 DETECT = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
-#: A text without any of these has no entity.
-HINT = r"@|\d|[A-Za-z0-9_-]{20}|(?i:token|secret|passw|pwd|api.?key|access.?key)|\b(?:" + "|".join(TITLES) + r")\.? "
+#: A text without any of these has no entity. Arrow's \b and \d know ASCII alone, so neither is used.
+HINT = r"@|\p{Nd}|[A-Za-z0-9_-]{20}|(?i:token|secret|passw|pwd|api.?key|access.?key)|(?:" + "|".join(TITLES) + r")\.? "
 
 #: Names that are replaced by others of their list, and beginnings of keys that keep them.
 LISTED = frozenset(n for listed in NAMES.values() for n in listed)

@@ -613,3 +613,11 @@ def test_no_two_entities_share_a_surrogate(spark):
     pairs = {(x[a:b], s.of(kind, x[a:b], g)) for x in made for kind, a, b, g in pii.entities(x)}
     assert len(pairs) == len({e for e, _ in pairs}) == len({n for _, n in pairs})
     assert pii.collisions(docs.limit(0), "key").count() == 0
+
+
+def test_every_text_with_an_entity_is_looked_at(spark):
+    texts = ["Вчера г-н Иван пришёл домой", "г-жа Ольга", "тел. ٠٥٥ ٥٥٥ ٥٥٥٥ да", "без имён"]
+    got = {r.doc_id: r for r in pii.surrogated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    assert [got[k].n_entities for k in range(4)] == [len(list(pii.entities(t))) for t in texts] == [1, 1, 1, 0]
+    assert "Иван" not in got[0].text
+    assert "Ольга" not in got[1].text
