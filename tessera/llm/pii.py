@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -52,6 +53,27 @@ LISTED = frozenset(n for listed in NAMES.values() for n in listed)
 KNOWN = re.compile(r"AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ|[0-9a-f]+$")
 
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+#: Everyday alphabets of other scripts; what is in none is replaced within its block, script and case.
+_PLAIN = ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+#: Scripts without spaces between words.
+_UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "THAI", "LAO", "KHMER", "MYANMAR")
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").partition(" ")[0].partition("-")[0]
+
+
+@lru_cache(100_000)
+def alphabet(c: str) -> str:
+    """The characters that may stand for a letter or digit: the set that it is in itself, so these sets are disjoint. Anything else has none."""
+    for known in (_DIGITS, _LOWER, _UPPER, *_PLAIN):
+        if c in known:
+            return known
+    if c.isascii() or not (c.isalpha() or c.isdecimal()):
+        return ""
+    kind, script, block = unicodedata.category(c), _script(c), ord(c) & ~0xFF
+    same = (chr(k) for k in range(block, block + 256) if unicodedata.category(chr(k)) == kind and _script(chr(k)) == script)
+    return "".join(x for x in same if not any(x in known for known in _PLAIN))
 
 
 class Surrogates:
@@ -95,10 +117,10 @@ class Surrogates:
                 return x
 
     def shaped(self, label: str, text: str, hexadecimal: bool = False) -> str:
-        """Digits, small and capital letters each replaced by others of their kind, all else kept; different texts of one shape stay different."""
+        """Digits, small and capital letters each replaced by others of their kind and script, all else kept; different texts of one shape stay different."""
         if len(text) > CHUNK:
             return "".join(self.shaped(f"{label}|{k}", text[k : k + CHUNK], hexadecimal) for k in range(0, len(text), CHUNK))
-        sets = [next((s for s in ((_HEX,) if hexadecimal else (_DIGITS, _LOWER, _UPPER)) if c in s), "") for c in text]
+        sets = [(_HEX if c in _HEX else "") if hexadecimal else alphabet(c) for c in text]
         x, size = 0, 1
         for c, s in zip(text, sets, strict=True):
             if s:
@@ -117,6 +139,8 @@ class Surrogates:
             name, host = entity.rsplit("@", 1)
             *labels, top = host.split(".")
             return f"{self.shaped('user@' + host, name)}@{'.'.join([*labels[:-1], self.shaped('host', labels[-1])])}.{top}"
+        if kind in ("ip", "card") and not entity.isascii():
+            return self.shaped(kind, entity)
         if kind == "ip":
             return ".".join(str(b) for b in self.other("ip", int.from_bytes(bytes(map(int, entity.split("."))), "big"), 1 << 32).to_bytes(4, "big"))
         if kind == "card" and luhn(entity):
@@ -151,17 +175,6 @@ class Surrogates:
         for (_, own), listed in NAMES.items():
             if name in listed and own == (gender or own):
                 return listed[self.other("name" + listed[0], listed.index(name), len(listed))]
-        if re.search("[Ѐ-ӿ]", name):
-            low = "абвгдежзийклмнопрстуфхцчшщыэюя"
-            x, size, out = 0, 1, []
-            spots = [k for k, c in enumerate(name) if c.lower() in low]
-            for k in spots:
-                x, size = x * len(low) + low.index(name[k].lower()), size * len(low)
-            x, out = self.other(f"cyrillic|{len(spots)}", x, size), list(name)
-            for k in reversed(spots):
-                x, d = divmod(x, len(low))
-                out[k] = low[d].upper() if name[k].isupper() else low[d]
-            return "".join(out)
         return self.walked("name", name, LISTED.__contains__)
 
 
@@ -180,11 +193,24 @@ def refill(shape: str, digits: str) -> str:
 
 
 def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
-    """(kind, from, to, gender) of what is found, from left to right."""
+    """(kind, from, to, gender) of what is found, from left to right; the parts of a name that stands after a title are names wherever else the text has them."""
+    found, parts = [], {}
     for m in DETECT.finditer(text):
         kind = next(k for k in PATTERNS if m.group(f"k_{k}") is not None)
         a, b = m.span(kind if kind in ("secret", "name") else f"k_{kind}")
-        yield kind, a, b, TITLES.get(m.group("title") or "", "")
+        gender = TITLES.get(m.group("title") or "", "")
+        found.append((kind, a, b, gender))
+        if kind == "name":
+            for k, part in enumerate(text[a:b].split(" ")):
+                parts.setdefault(part, "" if k else gender)
+    if parts:
+        bounded = lambda x: re.escape(x) if _script(x[0]) in _UNSPACED else rf"(?<!\w){re.escape(x)}(?!\w)"
+        mention, at, more = re.compile("|".join(map(bounded, sorted(parts, key=len, reverse=True)))), 0, []
+        for a, b in [*((a, b) for _, a, b, _ in found), (len(text), len(text))]:
+            more += [("name", m.start(), m.end(), parts[m.group()]) for m in mention.finditer(text, at, a)]
+            at = b
+        found = sorted(found + more, key=lambda x: x[1])
+    yield from found
 
 
 def replaced(text: str, surrogates: Surrogates) -> tuple[str, Counter]:
@@ -220,7 +246,7 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
 def surrogated(docs: DataFrame, key: str) -> DataFrame:
     """`docs` (doc_id, text and other columns) with `text` less its personal data, and with n_entities (int) and entities, a map from kind to number.
 
-    Kinds: email, secret, key, iban, ip, card, ssn, phone, name (after a title). A surrogate depends on `key`, kind and entity alone, so coreference holds across
+    Kinds: email, secret, key, iban, ip, card, ssn, phone, name (after a title, and its parts elsewhere in that text). A surrogate depends on `key`, kind and entity alone, so coreference holds across
     the corpus; within a format the mapping is a permutation, so different entities stay different, which `collisions` checks over a corpus. Domain levels above
     the last but one, country codes, card networks' first digits and valid check digits are kept in form. Defined cases: a null text stays null and an empty one
     empty, with no entities; repeated rows get equal texts; a null doc_id changes nothing; columns n_entities and entities that were there are replaced; an empty

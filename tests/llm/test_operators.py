@@ -621,3 +621,22 @@ def test_every_text_with_an_entity_is_looked_at(spark):
     assert [got[k].n_entities for k in range(4)] == [len(list(pii.entities(t))) for t in texts] == [1, 1, 1, 0]
     assert "Иван" not in got[0].text
     assert "Ольга" not in got[1].text
+
+
+def test_names_of_any_script_are_replaced_wherever_the_text_has_them():
+    s = pii.Surrogates(b"key")
+    for name in ("Παπαδόπουλος", "田中太郎", "Їжак", "Éé", "Ёё", "Քոչարյան", "김철수", "محمد", "Müller"):
+        new, kinds = pii.replaced(f"Dr. {name} came", s)
+        new = new.removeprefix("Dr. ").removesuffix(" came")
+        assert kinds == {"name": 1}
+        assert new != name
+        assert [c.isupper() for c in new] == [c.isupper() for c in name]
+        assert [pii._script(c) for c in new] == [pii._script(c) for c in name]
+    text, kinds = pii.replaced("Weber wrote. Dr. Anna Weber and Webern met; Weber's aide, Anna, said to weber@x.org", s)
+    assert kinds == {"name": 4, "email": 1}
+    first, last = re.match(r"\w+ wrote\. Dr\. (\w+) (\w+) and Webern met", text).groups()
+    assert text.startswith(f"{last} wrote. Dr. {first} {last} and Webern met; {last}'s aide, {first}, said to ")
+    text, _ = pii.replaced("Dr. 田中 来。田中さんは", s)
+    assert "田中" not in text
+    made = ["".join(x) for x in itertools.product("αβΩλ", repeat=3)]
+    assert len({s.of("name", x) for x in made}) == len(made)
