@@ -1,12 +1,14 @@
 """Language-model scores: context-tree weighting over bytes, beside an add-one unigram baseline.
 
-How it scales: the tree has a fixed size (contexts of three byte classes), so its counts fold into one dense table on every task, are summed by a shuffle and come
-back as a table of log-probabilities of 34 MB whatever the corpus. The unigram counts have no such bound and are never gathered: blocks of documents send each of
-their different words once to the bucket of its hash, where counts of all blocks meet, and get sums for their documents back.
+How it scales: neither the tree nor the unigram counts are ever gathered. Blocks of documents send each of their different words, and each different byte with the
+DEPTH bytes before it, once to a bucket, where counts of all blocks meet; buckets grow in number with the input. A bucket of contexts holds whole subtrees, those
+below the nearest `near` bytes. It weights them from the leaves up; the few levels above them are weighted on the driver and come back, and the bucket then sends
+each block the sums for its documents.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,41 +18,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.store import saved
-from tessera.llm.textbytes import LOWER, representatives, slices, span_hashes, spans
+from tessera.llm.textbytes import LOWER, mix, representatives, slices, span_hashes, spans
 
-#: Classes of a context byte and bytes of context: the tree has at most CLASSES ** DEPTH leaves of 255 binary nodes.
-CLASSES, DEPTH = 32, 3
+#: Bytes of context. Eight of them and the symbol's node would not fit into 64 bits.
+DEPTH = 6
+#: Different bytes of the contexts in a dense `tree_table`.
+CLASSES = 4
 #: The symbol after the last byte of a text: 255, which is no byte of UTF-8.
 END = 255
-#: Bytes and documents of a block; bytes of unigram data in a bucket.
-BLOCK_BYTES, BLOCK_DOCS, BUCKET_BYTES = 16 << 20, 65_000, 256 << 20
+#: Bytes and documents of a block; bytes of input for a bucket of words, and for one of contexts; parts in which a block's contexts are packed.
+BLOCK_BYTES, BLOCK_DOCS, BUCKET_BYTES, CONTEXT_BYTES, PARTS = 4 << 20, 65_000, 256 << 20, 16 << 20, 8
+#: Different codes that a task holds before it sends their counts.
+HELD_CODES = 2_000_000
+#: Codes whose subtrees a task weights at once, about.
+RANGE_CODES = 100_000
 #: The end of a text as a unigram token.
 END_TOKEN = np.uint64(1)
 
-#: Class of each byte: 0 the end (and what precedes a text), 1 white space, 2 to 27 letters, 28 digits, 29 other ASCII, 30 leading and 31 following UTF-8 bytes.
-CLASS = np.full(256, 29, np.int32)
-CLASS[[0x20, *range(0x09, 0x0E)]] = 1
-CLASS[97:123] = CLASS[65:91] = np.arange(2, 28)
-CLASS[48:58] = 28
-CLASS[0xC0:] = 30
-CLASS[0x80:0xC0] = 31
-CLASS[END] = 0
+#: What a byte is as a context: itself, all told apart. What precedes a text is 0.
+CLASS = np.arange(256)
+#: Codes are spread by an odd factor where they serve as hashes.
+_SPREAD = 0x9E3779B97F4A7C15
+_GATHER = np.uint64(pow(_SPREAD, -1, 1 << 64))
+_SPREAD = np.uint64(_SPREAD)
 
 
 def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context * 256 + symbol for each byte of each text and its end, where each text begins there). The last byte is the lowest digit of the context."""
+    """(context * 256 + symbol for each byte of each text and its end, where each text begins there). The last byte is the highest digit of the context."""
     symbols = np.insert(data, offsets[1:], END)
     begins = offsets[:-1] + np.arange(len(offsets) - 1)
-    kinds = CLASS[symbols]
-    context = np.zeros(len(symbols), np.int32)
-    for back in range(DEPTH, 0, -1):
-        one = np.zeros(len(symbols), np.int32)
-        one[back:] = kinds[: len(symbols) - back]
-        for k in range(back - 1):  # what lies beyond the end before this text
-            at = begins + k
-            one[at[at < len(one)]] = 0
-        context = context * CLASSES + one
-    return context * 256 + symbols, begins
+    place = np.arange(len(symbols)) - np.repeat(begins, np.diff(offsets) + 1)
+    code = symbols.astype(np.uint64)
+    for back in range(1, DEPTH + 1):
+        one = symbols[:-back].astype(np.uint64) * (place[back:] >= back)
+        code[back:] |= one << np.uint64(8 * (DEPTH - back) + 8)
+    return code, begins
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -62,12 +64,6 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - small
 
 
-def bits(counts: np.ndarray) -> np.ndarray:
-    """(..., 255, 2) counts of a next bit 0 and 1 at each node of the binary code of a symbol, from (..., 256) counts of symbols."""
-    levels = [counts.reshape(*counts.shape[:-1], 1 << k, 2, 128 >> k).sum(-1) for k in range(8)]
-    return np.concatenate(levels, axis=-2)
-
-
 def log_kt(n: np.ndarray) -> np.ndarray:
     """The log of the Krichevsky-Trofimov estimate of a block of bits with counts n[..., 0] and n[..., 1]."""
     return lgamma(n[..., 0] + 0.5) + lgamma(n[..., 1] + 0.5) - np.log(np.pi) - lgamma(n[..., 0] + n[..., 1] + 1)
@@ -77,114 +73,229 @@ def next_kt(n: np.ndarray) -> np.ndarray:
     return (n + 0.5) / (n.sum(-1, keepdims=True) + 1)
 
 
-def symbol_logs(p: np.ndarray) -> np.ndarray:
-    """(..., 256) log10 probabilities of symbols, from (..., 255, 2) probabilities of their bits."""
-    logs = np.log10(p)
-    return sum(np.repeat(logs[..., (1 << k) - 1 : (2 << k) - 1, :].reshape(*p.shape[:-2], 2 << k), 128 >> k, axis=-1) for k in range(8))
-
-
 def weighted(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log of the weighted probability of a node, weight of its own estimate) from its own log estimate and the sum of its children's weighted ones."""
     total = np.logaddexp(own, below) + np.log(0.5)
     return total, np.exp(own + np.log(0.5) - total)
 
 
-def tree_table(counts: np.ndarray) -> np.ndarray:
-    """(CLASSES ** DEPTH, 256) log10 probabilities of the next symbol after training on (context, symbol) counts.
+def leaves(code: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the k-th bit of the symbols: sorted keys (the bits before it, then the context), counts[..., 2] of that bit at each, and for each code its key's place and its bit."""
+    symbol = code & np.uint64(255)
+    key = symbol >> np.uint64(8 - k) << np.uint64(8 * DEPTH) | code >> np.uint64(8)
+    bit = (symbol >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
+    keys, place = np.unique(key, return_inverse=True)
+    return keys, np.bincount(2 * place + bit, weights=n, minlength=2 * len(keys)).reshape(-1, 2), place, bit
+
+
+def ascend(key: np.ndarray, n: np.ndarray, total: np.ndarray, times: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """From nodes (sorted key, counts, log of the weighted probability) to those `times` bytes of context above: the steps (place of each child's parent, the parents'
+    estimates and weights), and the same three of the uppermost. A node without counts changes nothing."""
+    steps = []
+    for _ in range(times):
+        key = key >> np.uint64(8)
+        new = np.append(True, key[1:] != key[:-1])
+        start = np.flatnonzero(new)
+        key, n = key[start], np.add.reduceat(n, start, axis=0)
+        total, weight = weighted(log_kt(n), np.add.reduceat(total, start))
+        steps.append((np.cumsum(new) - 1, next_kt(n), weight))
+    return steps, key, n, total
+
+
+def descend(steps: list, p: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The way back: from what the path above the uppermost nodes gives to both bits, and what weight it leaves, to the same above the lowest."""
+    for place, own, weight in reversed(steps):
+        p, rest = p + (rest * weight)[:, None] * own, rest * (1 - weight)
+        p, rest = p[place], rest[place]
+    return p, rest
+
+
+def ranges(code: np.ndarray, near: int) -> Iterator[tuple[int, int]]:
+    """Stretches of ascending codes, about RANGE_CODES long, none of which parts codes with the same last `near` bytes."""
+    unit = code >> np.uint64(8 * (DEPTH - near) + 8)
+    start = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+    start = start[np.unique(start // RANGE_CODES, return_index=True)[1]]
+    return zip(start.tolist(), [*start[1:].tolist(), len(code)], strict=True)
+
+
+def subtrees(code: np.ndarray, n: np.ndarray, near: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bit of a symbol the nodes of `near` bytes of context: key, counts, log of the weighted probability; from different codes and how often they were trained on."""
+    out = [[] for _ in range(8)]
+    for a, b in ranges(code, near):
+        for k in range(8):
+            key, counts, _, _ = leaves(code[a:b], n[a:b], k)
+            out[k].append(ascend(key, counts, log_kt(counts), DEPTH - near)[1:])
+    return [tuple(map(np.concatenate, zip(*parts, strict=True))) for parts in out]
+
+
+def upper(nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], near: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bit the keys of those nodes, what the path above each gives to both bits, and the weight that it leaves."""
+    out = []
+    for key, n, total in nodes:
+        order = np.argsort(key)
+        steps, root, _, _ = ascend(key[order], n[order], total[order], near)
+        out.append((key[order], *descend(steps, np.zeros((len(root), 2)), np.ones(len(root)))))
+    return out
+
+
+def code_logs(code: np.ndarray, n: np.ndarray, near: int, above: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The log10 probability of the symbol of each code in its context.
 
     For each of the 255 binary decisions there is one context tree. A node's weighted probability is half its own estimate and half the product of its children's;
-    given the training text, the next bit's probability mixes the estimates along the path with the posterior weights that follow. It goes branch by branch of the
-    last byte, whose subtrees are independent.
+    given the training text, the next bit's probability mixes the estimates along the path with the posterior weights that follow.
     """
-    shape = (CLASSES,) * DEPTH  # the last byte is the last axis
-    counts = counts.reshape(*shape, 256)
-
-    def branch(last: int) -> tuple[np.ndarray, list]:
-        level = bits(counts[..., last, :].astype(float))
-        levels, log_own = [], log_kt(level)
-        levels.append((next_kt(level), None))
-        total = log_own
-        for _ in range(DEPTH - 1):
-            level = level.sum(0)
-            total, weight = weighted(log_kt(level), total.sum(0))
-            levels.append((next_kt(level), weight))
-        return total, levels
-
-    total = sum(branch(last)[0] for last in range(CLASSES))
-    root = bits(counts.sum(axis=tuple(range(DEPTH))).astype(float))
-    _, root_weight = weighted(log_kt(root), total)
-    table = np.empty((*shape, 256), np.float32)
-    for last in range(CLASSES):
-        _, levels = branch(last)
-        p = (root_weight[:, None] * next_kt(root)).reshape((1,) * (DEPTH - 1) + (255, 2))
-        rest = 1 - root_weight
-        for k in range(DEPTH - 1, -1, -1):
-            own, weight = levels[k]
-            lead = (1,) * k
-            if weight is None:
-                p = p + rest[..., None] * own
-            else:
-                p = p + (rest * weight).reshape(*lead, *weight.shape)[..., None] * own.reshape(*lead, *own.shape)
-                rest = (rest * (1 - weight)).reshape(*lead, *weight.shape)
-        table[..., last, :] = symbol_logs(p)
-    return table.reshape(-1, 256)
+    out = np.zeros(len(code))
+    for a, b in ranges(code, near):
+        for k in range(8):
+            key, counts, place, bit = leaves(code[a:b], n[a:b], k)
+            steps, top, _, _ = ascend(key, counts, log_kt(counts), DEPTH - near)
+            known, p, rest = above[k]
+            at = np.searchsorted(known, top)
+            p, rest = descend(steps, p[at], rest[at])
+            out[a:b] += np.log10(p + rest[:, None] * next_kt(counts))[place, bit]
+    return out
+
+
+def tree_table(counts: np.ndarray) -> np.ndarray:
+    """(CLASSES ** DEPTH, 256) log10 probabilities of the next symbol after training on (context, symbol) counts of contexts of CLASSES different bytes."""
+    row = np.arange(len(counts), dtype=np.uint64)
+    context = np.zeros(len(counts), np.uint64)
+    for _ in range(DEPTH):  # the last byte is the lowest digit of the row
+        context = context << np.uint64(8) | row % np.uint64(CLASSES)
+        row //= np.uint64(CLASSES)
+    code = (context[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)).ravel()
+    return code_logs(code, counts.ravel(), 0, upper(subtrees(code, counts.ravel(), 0), 0)).reshape(counts.shape)
+
+
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Arrays as planes of like bytes, compressed; how many bytes of them there are comes first."""
+    raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unplaned(blob: bytes, *kinds: tuple[type | str, int]) -> list[np.ndarray]:
+    """Those arrays again, from the type and length of each."""
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for kind, n in kinds:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of ascending values, which np.cumsum undoes."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
 
+def homes(code: np.ndarray, near: int, buckets: int) -> np.ndarray:
+    """The bucket of each code: all with the same last `near` bytes share one."""
+    return mix(code >> np.uint64(8 * (DEPTH - near) + 8)) % np.uint64(buckets)
 
-def context_counts(texts: DataFrame) -> np.ndarray:
-    """Counts of (context, symbol) over all rows of `texts` (text); at most CLASSES ** DEPTH * 256 of them come to the driver."""
+
+def _coded(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:8], "little") // 12
+    code, times = _unplaned(blob, (np.uint64, n), (np.uint32, n))
+    return np.cumsum(code, dtype=np.uint64), times
+
+
+def upper_levels(texts: DataFrame, near: int, buckets: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """`upper` for all codes of `texts` (text, trained). Of the tree, only nodes of `near` bytes of context come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
+        held, size, kept, count = [], 0, [], 0
+
+        def fold() -> None:
+            nonlocal held, size, count
+            if held:
+                both, times = np.unique(np.concatenate(held), return_counts=True)
+                held, size = [], 0
+                code = both >> np.uint64(1)
+                new = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+                kept.append((code[new], np.add.reduceat(times * (both & np.uint64(1)).astype(np.int64), new).astype(np.uint32)))
+                count += len(new)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal kept, count
+            fold()
+            if kept:
+                code, n, _ = _merged(kept)
+                kept, count = [], 0
+                home = homes(code, near, buckets)
+                order = np.argsort(home, kind="stable")
+                edges = np.searchsorted(home[order], np.arange(buckets + 1, dtype=np.uint64))
+                for b in np.flatnonzero(np.diff(edges)):
+                    own = order[edges[b] : edges[b + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), pa.array([_planes(_steps(code[own]), n[own].astype(np.uint32))], pa.binary())], ["bucket", "blob"])
+
         for batch in batches:
-            counts = np.zeros(CLASSES**DEPTH * 256, np.int64) if counts is None else counts
-            for _, _, data, offsets in slices(batch.column(0)):
-                code, n = np.unique(codes(LOWER[data], offsets)[0], return_counts=True)
-                counts[code] += n
-        if counts is not None:
-            seen = np.flatnonzero(counts)
-            for k in range(0, len(seen), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(seen[k : k + 100_000], pa.int32()), pa.array(counts[seen[k : k + 100_000]])], ["code", "n"])
-
-    found = texts.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CLASSES**DEPTH * 256, np.int64)
-    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return counts.reshape(-1, 256)
-
-
-def _packed(block: list[tuple[np.ndarray, np.ndarray, np.ndarray]], held: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """For each bucket the block's different words there: hash, count in training documents, and (document, count) pairs."""
+            trained = np.array(batch.column(1).to_pylist(), bool)
+            for a, b, data, offsets in slices(batch.column(0)):
+                if size + len(data) > BLOCK_BYTES:
+                    fold()
+                    if count > HELD_CODES:
+                        yield from flush()
+                code, _ = codes(LOWER[data], offsets)
+                held.append(code << np.uint64(1) | np.repeat(trained[a:b], np.diff(offsets) + 1))
+                size += len(data)
+        yield from flush()
+
+    def weigh(group: pa.Table) -> pa.Table:
+        code, n = _merged([_coded(x.as_py()) for x in group.column("blob")])[:2]
+        nodes = subtrees(code, n, near)
+        return pa.table([pa.array(np.repeat(np.arange(8), [len(x[0]) for x in nodes]), pa.int32()), pa.array(np.concatenate([x[0] for x in nodes]).view(np.int64)), *(pa.array(np.concatenate([x[1][:, b] for x in nodes])) for b in (0, 1)), pa.array(np.concatenate([x[2] for x in nodes]))], names=["k", "key", "zeros", "ones", "total"])
+
+    found = texts.mapInArrow(run, "bucket long, blob binary").groupBy("bucket").applyInArrow(weigh, "k int, key long, zeros double, ones double, total double").toArrow()
+    k, key, zeros, ones, total = (x.to_numpy() for x in found.columns)
+    return upper([(key[k == j].view(np.uint64), np.stack([zeros[k == j], ones[k == j]], axis=1), total[k == j]) for j in range(8)], near) if len(k) else []
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different hashes, how often each was trained on, the place of each part's hashes among them) of parts (hashes, counts, ...)."""
+    distinct, which = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    return distinct, np.bincount(which, weights=np.concatenate([x[1] for x in parts]), minlength=len(distinct)), which.astype(np.int32)
+
+
+def _packed(block: list[tuple[np.ndarray, np.ndarray]], held: np.ndarray, buckets: int, factor: np.uint64 = np.uint64(1), home=lambda h, buckets: h % np.uint64(buckets)) -> Iterator[tuple[int, bytes]]:
+    """For each bucket the block's different words (or codes) there: hash times `factor`, and (document, count) pairs; and which documents are not trained on."""
     words = np.concatenate([w for w, _ in block])
     doc = np.concatenate([d for _, d in block])
     first, token = representatives(words)
-    hashes = words[first]
-    order = np.argsort(hashes % np.uint64(buckets), kind="stable")
+    hashes = words[first] * factor
+    place = home(hashes, buckets)
+    order = np.lexsort((hashes, place))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     hashes = hashes[order]
     pair, times = np.unique(rank[token] * len(held) + doc, return_counts=True)
     token, doc = np.divmod(pair, len(held))
-    train = np.bincount(token, weights=times * ~held[doc], minlength=len(hashes)).astype(np.uint32)
     bounds = np.searchsorted(token, np.arange(len(hashes) + 1))
-    edges = np.searchsorted(hashes % np.uint64(buckets), np.arange(buckets + 1, dtype=np.uint64))
+    edges = np.searchsorted(place[order], np.arange(buckets + 1, dtype=np.uint64))
     for b in np.flatnonzero(np.diff(edges)):
         x, y = edges[b], edges[b + 1]
         u, v = bounds[x], bounds[y]
-        wide = np.dtype("u2" if times[u:v].max() < 65536 else "u4")
-        head = np.array([y - x, v - u, wide.itemsize], np.int64)
-        yield int(b), b"".join(z.tobytes() for z in (head, hashes[x:y], train[x:y], np.diff(bounds[x : y + 1]).astype(np.uint32), doc[u:v].astype(np.uint16), times[u:v].astype(wide)))
+        wide = np.dtype("u1" if times[u:v].max() < 256 else "u4")
+        head = np.array([y - x, v - u, wide.itemsize, len(held)], np.int64)
+        near = np.diff(doc[u:v], prepend=0)  # from one document of a word to the next
+        near[bounds[x:y] - u] = doc[bounds[x:y]]
+        yield int(b), head.tobytes() + np.packbits(held).tobytes() + _planes(_steps(hashes[x:y]), np.diff(bounds[x : y + 1]).astype(np.uint32), near.astype(np.uint16), times[u:v].astype(wide))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, m, wide = np.frombuffer(blob, np.int64, 3).tolist()
-    out, at = [], 24
-    for kind, size in ((np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint16, m), (f"u{wide}", m)):
-        out.append(np.frombuffer(blob, kind, size, at))
-        at += out[-1].nbytes
-    return tuple(out)
+    n, m, wide, docs = np.frombuffer(blob, np.int64, 4).tolist()
+    at = 32 + -(-docs // 8)
+    held = np.unpackbits(np.frombuffer(blob, np.uint8, at - 32, 32), count=docs).astype(bool)
+    hashes, pairs, near, times = _unplaned(blob[at:], (np.uint64, n), (np.uint32, n), (np.uint16, m), (f"u{wide}", m))
+    total, first = np.cumsum(near, dtype=np.int64), np.cumsum(pairs, dtype=np.int64) - pairs
+    doc = total - np.repeat(total[first] - near[first], pairs)
+    doc = doc.astype(np.uint16)
+    train = np.add.reduceat(times * ~held[doc], first, dtype=np.int64).astype(np.uint32)
+    return np.cumsum(hashes, dtype=np.uint64), train, pairs, doc, times
 
 
 #: What each document has beside its sums.
-_LISTS = "doc_id array<{}>, held_out array<boolean>, n_tokens array<long>, n_bytes array<long>, score array<double>"
+_LISTS = "doc_id array<{}>, held_out array<boolean>, n_tokens array<long>, n_bytes array<long>"
 
 
 def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -199,28 +310,40 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     docs = docs.select("doc_id", "text", F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.coalesce(fold != held, F.lit(False)).alias("trained"))
-    table = spark.sparkContext.broadcast(tree_table(context_counts(docs.where("trained").select("text"))))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = int(min(100_000, max(32, size // BUCKET_BYTES)))
+    branches = int(min(100_000, max(32, size // CONTEXT_BYTES)))
+    near = 2 + (branches > 64) + (branches > 1024)  # more buckets need smaller subtrees
+    above = spark.sparkContext.broadcast(upper_levels(docs.select("text", "trained"), near, branches))
     lists = _LISTS.format(kind)
     schema = f"bucket long, block long, blob binary, {lists}"
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, number = table.value.ravel(), TaskContext.get().partitionId() << 32
-        words, ids, flags, trained, totals, sizes, found, held_bytes = [], [], [], [], [], [], [], 0
+        number = TaskContext.get().partitionId() << 32
+        words, contexts, ids, flags, trained, totals, sizes, held_bytes = [], [], [], [], [], [], [], 0
+
+        def branch(k: int, held: np.ndarray) -> Iterator[tuple[int, bytes]]:
+            """A part of the block's contexts: every PARTS-th bucket."""
+            own = []
+            for code, doc, part in contexts:
+                mine = np.flatnonzero(part == k)
+                own.append((code[mine] * _SPREAD, doc[mine].astype(np.int64)))
+            if sum(len(x) for x, _ in own):
+                yield from _packed(own, held, branches, _GATHER, lambda code, n: homes(code, near, n))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, words, ids, flags, trained, totals, sizes, found, held_bytes
+            nonlocal number, words, contexts, ids, flags, trained, totals, sizes, held_bytes
             if not totals:
                 return
             per = np.concatenate(totals)
             own = pa.concat_arrays(ids)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x) for x in (own, pa.concat_arrays(flags), pa.array(per), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found)))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x) for x in (own, pa.concat_arrays(flags), pa.array(per), pa.array(np.concatenate(sizes)))]
             yield pa.RecordBatch.from_arrays([pa.array([-1 - number]), pa.array([number]), pa.array([None], pa.binary()), *lists], names)
-            for b, blob in _packed(words, ~np.concatenate(trained), buckets):
+            held = ~np.concatenate(trained)
+            for b, blob in itertools.chain(_packed(words, held, buckets), ((buckets + b, blob) for k in range(PARTS) for b, blob in branch(k, held))):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([number]), pa.array([blob], pa.binary()), *(pa.nulls(1, x.type) for x in lists)], names)
             number += 1
-            words, ids, flags, trained, totals, sizes, found, held_bytes = [], [], [], [], [], [], [], 0
+            words, contexts, ids, flags, trained, totals, sizes, held_bytes = [], [], [], [], [], [], [], 0
 
         names, count = [x.split()[0] for x in schema.split(", ")], 0
         for batch in batches:
@@ -236,8 +359,8 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
                     starts, ends, firsts = spans(low, part)
                     own = np.diff(firsts)
                     words.append((np.append(span_hashes(low, starts, ends), np.full(rows, END_TOKEN)), count + np.append(np.repeat(np.arange(rows), own), np.arange(rows))))
-                    code, begins = codes(low, part)
-                    found.append(np.add.reduceat(logs[code], begins, dtype=float))
+                    code = codes(low, part)[0]
+                    contexts.append((code, np.repeat((count + np.arange(rows)).astype(np.uint16), np.diff(part) + 1), (homes(code, near, branches) % np.uint64(PARTS)).astype(np.uint8)))
                     totals.append(own + 1)
                     sizes.append(np.diff(part))
                     ids.append(batch.column(0).slice(c, rows))
@@ -249,42 +372,46 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     def bucket(group: pa.Table) -> pa.Table:
         if group.column("blob")[0].as_py() is None:  # a block's own row
             own = group.select(["block", *(x.split()[0] for x in lists.split(", "))])
-            return own.append_column("sums", pa.nulls(len(own), pa.binary())).append_column("tokens", pa.nulls(len(own), pa.int64())).append_column("kinds", pa.nulls(len(own), pa.int64())).select(names)
-        parts = [_unpacked(x.as_py()) for x in group.column("blob")]
-        distinct, which = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-        count = np.bincount(which, weights=np.concatenate([x[1] for x in parts]), minlength=len(distinct))
-        logs, known = np.log10(count + 1), count > 0
+            return own.append_column("sums", pa.nulls(len(own), pa.binary())).append_column("tokens", pa.nulls(len(own), pa.int64())).append_column("kinds", pa.nulls(len(own), pa.int64())).append_column("deep", pa.array([False] * len(own))).select(names)
+        blobs = [x.as_py() for x in group.column("blob")]
+        distinct, count, which = _merged([_unpacked(x)[:2] for x in blobs])
+        deep = group.column("bucket")[0].as_py() >= buckets
+        logs, known = code_logs(distinct, count, near, above.value) if deep else np.log10(count + 1), count > 0
         out, at = [], 0
-        for hashes, _, pairs, doc, times in parts:
+        for hashes, _, pairs, doc, times in map(_unpacked, blobs):
             token = np.repeat(which[at : at + len(hashes)], pairs)
             at += len(hashes)
             docs_, place = np.unique(doc, return_inverse=True)
             total = np.bincount(place, weights=logs[token] * times)
             seen = np.bincount(place, weights=known[token] * times).astype(np.uint32)
-            out.append(b"".join(x.tobytes() for x in (total, seen, docs_)))
-        n = len(parts)
-        own = [pa.array([int(count.sum())] + [0] * (n - 1)), pa.array([int(known.sum())] + [0] * (n - 1))]
+            out.append(b"".join(x.tobytes() for x in ((total, docs_) if deep else (total, seen, docs_))))
+        n = len(blobs)
+        own = [pa.array([0 if deep else int(x.sum())] + [0] * (n - 1)) for x in (count, known)] + [pa.array([deep] * n)]
         return pa.table([group.column("block"), *(pa.nulls(n, group.column(x.split()[0]).type) for x in lists.split(", ")), pa.array(out, pa.binary()), *own], names=names)
 
-    names = ["block", *(x.split()[0] for x in lists.split(", ")), "sums", "tokens", "kinds"]
-    sums = saved(docs.mapInArrow(blocks, schema).groupBy("bucket").applyInArrow(bucket, f"block long, {lists}, sums binary, tokens long, kinds long"), "sums")
+    names = ["block", *(x.split()[0] for x in lists.split(", ")), "sums", "tokens", "kinds", "deep"]
+    sums = saved(docs.mapInArrow(blocks, schema).groupBy("bucket").applyInArrow(bucket, f"block long, {lists}, sums binary, tokens long, kinds long, deep boolean"), "sums")
     n, v = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("kinds")).first())
     each = float(np.log10(n + v + 1))
 
     def joined(group: pa.Table) -> pa.Table:
         blobs = [x.as_py() for x in group.column("sums")]
         own = blobs.index(None)
-        cols = {name: group.column(name).combine_chunks().slice(own, 1).flatten() for name in names[1:6]}
+        cols = {name: group.column(name).combine_chunks().slice(own, 1).flatten() for name in names[1:5]}
         tokens = cols["n_tokens"].to_numpy()
-        base, known = np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
-        for blob in blobs[:own] + blobs[own + 1 :]:
-            m = len(blob) // 14
-            doc = np.frombuffer(blob, np.uint16, m, 12 * m)
-            base[doc] += np.frombuffer(blob, float, m)
-            known[doc] += np.frombuffer(blob, np.uint32, m, 8 * m)
-        score = cols["score"].to_numpy()
+        base, score, known = np.zeros(len(tokens)), np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
+        for blob, deep in zip(blobs, group.column("deep").to_pylist(), strict=True):
+            if blob is None:
+                continue
+            m = len(blob) // (10 if deep else 14)
+            doc = np.frombuffer(blob, np.uint16, m, (8 if deep else 12) * m)
+            if deep:
+                score[doc] += np.frombuffer(blob, float, m)
+            else:
+                base[doc] += np.frombuffer(blob, float, m)
+                known[doc] += np.frombuffer(blob, np.uint32, m, 8 * m)
         length = -score * np.log2(10) / (cols["n_bytes"].to_numpy() + 1)
-        return pa.table([cols["doc_id"], cols["held_out"], cols["n_tokens"], pa.array(known), pa.array(np.full(len(tokens), n, np.int64)), pa.array(base - tokens * each), cols["score"], pa.array(length)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        return pa.table([cols["doc_id"], cols["held_out"], cols["n_tokens"], pa.array(known), pa.array(np.full(len(tokens), n, np.int64)), pa.array(base - tokens * each), pa.array(score), pa.array(length)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return sums.groupBy("block").applyInArrow(joined, out)

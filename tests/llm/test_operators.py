@@ -640,3 +640,17 @@ def test_names_of_any_script_are_replaced_wherever_the_text_has_them():
     assert "田中" not in text
     made = ["".join(x) for x in itertools.product("αβΩλ", repeat=3)]
     assert len({s.of("name", x) for x in made}) == len(made)
+
+
+def test_real_bytes_beyond_the_third_are_context(spark):
+    rng = random.Random(9)
+    pairs = [("x1234a ", "x1234b "), ("y1239b ", "y1239a "), ("жда", "жне"), ("шне", "шда")]
+    rows = [(k, "".join(rng.choice(pairs)[0] for _ in range(60))) for k in range(80)]
+    rows += [(1000 + 2 * k + j, one) for k, pair in enumerate(pairs) for j, one in enumerate(pair)]
+    held = {i for i in range(1000, 9000) if fold(i, 7) == 2}
+    renamed = dict(zip(range(1000, 1008), sorted(held), strict=False))
+    frame = spark.createDataFrame([(renamed.get(i, i), t) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.scores(frame).collect()}
+    for k in range(4):
+        said, other = got[renamed[1000 + 2 * k]], got[renamed[1001 + 2 * k]]
+        assert said > other + 1
