@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.textbytes import LOWER, slices, span_hashes, spans, windows
 
-#: Words of a seed, which is also the shortest tile, and the share of a passage's words that tiles must cover.
+#: Words of a seed, which is also the shortest tile (all words of a shorter item), and the share of a passage's words that tiles must cover.
 SEED, COVERAGE = 5, 0.7
 #: Words of the benchmark that are handled in one pass (16 bytes each on every worker).
 BLOCK_WORDS = 2_000_000
@@ -29,7 +29,8 @@ def tiles(text: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int,
 
     Running Karp-Rabin: hashes of all unmarked runs of a length, in the passage a table, in the text looked up; matches are extended as far as words agree and
     are unmarked. The longest are marked first; of equals, the first in the passage, then in the text. A match longer than twice the length sought restarts the
-    search with its length, else the length falls to what was found, and in the end to `least`.
+    search with its length, else the length falls to what was found, and in the end to `least`, which is sought until nothing more is marked: what a longer tile
+    has cut short is found again by its rest.
     """
     free_t, free_p = np.ones(len(text), bool), np.ones(len(passage), bool)
     out, sought = [], max(least, min(len(passage), len(text), 4 * least))
@@ -54,11 +55,13 @@ def tiles(text: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int,
         if longest > 2 * sought:
             sought = longest
             continue
+        marked = False
         for n, j, i in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
             if free_t[i : i + n].all() and free_p[j : j + n].all():
                 free_t[i : i + n] = free_p[j : j + n] = False
                 out.append((i, j, n))
-        if sought == least:
+                marked = True
+        if sought == least and not marked:
             return sorted(out)
         sought = max(least, sought // 2)
 
@@ -72,20 +75,23 @@ class Passages:
             starts, ends, firsts = spans(data, offsets)
             words = span_hashes(LOWER[data], starts, ends)
             self.words += [words[a:b] for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-        seeds = [windows(w, SEED) for w in self.words]
-        every = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        order = np.argsort(every, kind="stable")
-        self.seeds, self.owner = every[order], owner[order]
-        self.bits = np.zeros(1 << _BITS, bool)
-        self.bits[self.seeds >> np.uint64(64 - _BITS)] = True
-
-    def sharing(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, item) for each of the runs that is a seed of the item."""
-        maybe = np.flatnonzero(self.bits[runs >> np.uint64(64 - _BITS)])
-        low, high = np.searchsorted(self.seeds, runs[maybe], "left"), np.searchsorted(self.seeds, runs[maybe], "right")
+        self.seeds = {}
+        for width in sorted({min(SEED, len(w)) for w in self.words} - {0}):
+            own = [k for k, w in enumerate(self.words) if min(SEED, len(w)) == width]
+            seeds = [windows(self.words[k], width) for k in own]
+            every, owner = np.concatenate(seeds), np.repeat(own, [len(x) for x in seeds])
+            order = np.argsort(every, kind="stable")
+            bits = np.zeros(1 << _BITS, bool)
+            bits[every >> np.uint64(64 - _BITS)] = True
+            self.seeds[width] = every[order], owner[order], bits
+
+    def sharing(self, runs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) for each of the runs of `width` words that is a seed of the item."""
+        seeds, owner, bits = self.seeds[width]
+        maybe = np.flatnonzero(bits[runs >> np.uint64(64 - _BITS)])
+        low, high = np.searchsorted(seeds, runs[maybe], "left"), np.searchsorted(seeds, runs[maybe], "right")
         n = high - low
-        return np.repeat(maybe, n), self.owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        return np.repeat(maybe, n), owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
 
 def _matched(docs: DataFrame, passages: Passages, coverage: float, item_type: str) -> DataFrame:
@@ -98,12 +104,14 @@ def _matched(docs: DataFrame, passages: Passages, coverage: float, item_type: st
             for a, _, data, offsets in slices(batch.column(1)):
                 starts, ends, firsts = spans(data, offsets)
                 hashes = span_hashes(LOWER[data], starts, ends)
-                place, item = p.sharing(windows(hashes, SEED))
-                row = np.searchsorted(firsts, place, "right") - 1
-                inside = place + SEED <= firsts[row + 1]
-                pairs = np.unique(np.stack([row[inside], item[inside]], axis=1), axis=0)
-                for r, k in pairs.tolist():
-                    found = tiles(hashes[firsts[r] : firsts[r + 1]], p.words[k], SEED)
+                pairs = []
+                for width in p.seeds:
+                    place, item = p.sharing(windows(hashes, width), width)
+                    row = np.searchsorted(firsts, place, "right") - 1
+                    inside = place + width <= firsts[row + 1]
+                    pairs += np.unique(np.stack([row[inside], item[inside]], axis=1), axis=0).tolist()
+                for r, k in pairs:
+                    found = tiles(hashes[firsts[r] : firsts[r + 1]], p.words[k], min(SEED, len(p.words[k])))
                     n = sum(m for _, _, m in found)
                     if n >= coverage * len(p.words[k]):
                         rows.append(a + r)
@@ -120,8 +128,8 @@ def _matched(docs: DataFrame, passages: Passages, coverage: float, item_type: st
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, item_words, covered_words, n_tiles, coverage) for each row of `docs` (doc_id, text) and item of `benchmark` (item_id, text) that it leaks.
 
-    Words are runs of other than ASCII white space, A-Z in lower case. An item leaks if tiles of SEED words or more cover at least `coverage` of its words, in any
-    order. Defined cases: null and empty texts share nothing; an item of fewer than SEED words has no tile and so is never found; null ids stay null; repeated
+    Words are runs of other than ASCII white space, A-Z in lower case. An item leaks if tiles of SEED words or more (all its words, if it has fewer) cover at least `coverage` of its words, in any
+    order. Defined cases: null and empty texts share nothing; an item without words is never found; null ids stay null; repeated
     rows give repeated results; ties between tiles go to the first; empty tables give no rows; other columns, whatever their names, are not read.
     """
     docs, items = docs.select("doc_id", "text"), benchmark.select("item_id", "text").where("text is not null")

@@ -654,3 +654,16 @@ def test_real_bytes_beyond_the_third_are_context(spark):
     for k in range(4):
         said, other = got[renamed[1000 + 2 * k]], got[renamed[1001 + 2 * k]]
         assert said > other + 1
+
+
+def test_what_a_longer_tile_cuts_short_is_tiled_by_its_rest():
+    passage = np.arange(100, 125).astype(np.uint64)
+    text = np.concatenate([passage[:8], [1], passage[5:14], np.arange(2, 12)]).astype(np.uint64)
+    assert sum(n for _, _, n in decontaminate.tiles(text, passage, 5)) == brute_tiles(text, passage, 5) == 14
+
+
+def test_items_of_few_words_are_found(spark):
+    bench = spark.createDataFrame([(1, "few words here"), (2, "lone"), (3, "one two three four"), (4, ""), (5, "five words of an item")], "item_id long, text string")
+    frame = spark.createDataFrame([(1, "a Few words HERE b"), (2, "few words there"), (3, "lone"), (4, "zero one two three four"), (5, "one two x three four"), (6, "few words"), (7, "here")], "doc_id long, text string")
+    got = decontaminate.contaminated(frame, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 2), (4, 3)]
