@@ -667,3 +667,14 @@ def test_items_of_few_words_are_found(spark):
     frame = spark.createDataFrame([(1, "a Few words HERE b"), (2, "few words there"), (3, "lone"), (4, "zero one two three four"), (5, "one two x three four"), (6, "few words"), (7, "here")], "doc_id long, text string")
     got = decontaminate.contaminated(frame, bench).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 2), (4, 3)]
+
+
+def test_the_finer_sketch_keeps_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    most, lost = near_dedup.most_odd_bits(0.8 - near_dedup.FINE_SLACK, near_dedup.FINE_SAMPLES, near_dedup.FINE_BITS), 0
+    for _ in range(20):
+        different = rng.binomial(near_dedup.FINE_SAMPLES, 0.2, 5000)
+        bit = np.repeat(np.arange(5000), 2 * different) * near_dedup.FINE_BITS + rng.integers(0, near_dedup.FINE_BITS, 2 * int(different.sum()))
+        odd = (np.bincount(bit, minlength=5000 * near_dedup.FINE_BITS) & 1).reshape(5000, -1).sum(axis=1)
+        lost += int((odd > most).sum())
+    assert lost == 0
