@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.textbytes import slices
 
-#: Labelled text of a language in bytes, documents that it is taken from, the longest of them in bytes, and the most languages (those with most documents).
-LEARNED_BYTES, LEARNED_DOCS, LEARNED_LONGEST, LANGUAGES = 24_000, 64, 20_000, 128
+#: Labelled text of a language in bytes, documents that it is taken from, and characters that count of a longer one.
+LEARNED_BYTES, LEARNED_DOCS, LEARNED_LONGEST = 24_000, 64, 20_000
 #: Bytes of a stretch: a parse begins anew at its start, which adds a phrase at most, for each language alike.
 STRETCH, SLICE_BYTES = 1024, 4 << 20
 
@@ -101,11 +101,11 @@ def learned(docs: DataFrame, folds: int = 4, held: int = 2) -> dict[str, bytes]:
 
     Only rows with lang and text whose crc32(doc_id as text) mod `folds` is not `held` count.
     """
-    usable = docs.where((F.crc32(F.col("doc_id").cast("string")) % folds != held) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= LEARNED_LONGEST))
+    docs = docs.withColumn("text", F.substring("text", 1, LEARNED_LONGEST))
+    usable = docs.where((F.crc32(F.col("doc_id").cast("string")) % folds != held) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("slot", F.pmod("h", F.lit(LEARNED_DOCS)))
-    slots = hashed.groupBy("lang", "slot").agg(F.min(F.struct("h", "doc_id")).alias("least"), F.count("*").alias("n"))
-    langs = [r.lang for r in slots.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    picked = slots.where(F.col("lang").isin(langs)).select("lang", "least.doc_id").limit(LANGUAGES * LEARNED_DOCS).collect() if langs else []
+    slots = hashed.groupBy("lang", "slot").agg(F.min(F.struct("h", "doc_id")).alias("least"))
+    picked = slots.select("lang", "least.doc_id").collect()
     if not picked:
         return {}
     ids = docs.sparkSession.createDataFrame(picked, f"lang string, doc_id {docs.schema['doc_id'].dataType.simpleString()}")

@@ -678,3 +678,8 @@ def test_the_finer_sketch_keeps_pairs_at_the_threshold():
         odd = (np.bincount(bit, minlength=5000 * near_dedup.FINE_BITS) & 1).reshape(5000, -1).sum(axis=1)
         lost += int((odd > most).sum())
     assert lost == 0
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(k, f"word{'abcdefghij'[k % 10]} {k}", f"l{k % 150}") for k in range(900)] + [(1000 + k, "livre long " * 4000, "long") for k in range(8)]
+    assert set(language.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == {*(f"l{k}" for k in range(150)), "long"}
