@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names; a temporary one only where it is unset (tests)."""
+    """The folder that `spark.checkpoint.dir` names. Where it is unset, a temporary one on a single machine (tests), and an error on a cluster, whose machines would not share it."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that all machines of the cluster share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")
@@ -29,9 +34,27 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.tessera_path = path
+    for scope in _scopes[-1:]:
+        scope.append(out)
     return out
 
 
+@contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Tables saved inside are deleted at its end, but for those that are taken out of the list."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for table in _scopes.pop():
+            dropped(table)
+
+
+def released(tables: list[DataFrame], *needed: DataFrame) -> None:
+    """Take what a result still reads out of the list of `temporary`."""
+    tables[:] = [x for x in tables if not any(x is y for y in needed)]
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table from `saved` that nothing will read again."""
     spark = df.sparkSession

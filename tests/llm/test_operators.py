@@ -208,6 +208,16 @@ def test_verdicts_do_not_depend_on_the_order(docs):
     assert sorted(map(str, one)) == sorted(map(str, two))
 
 
+def test_lines_end_at_newlines_alone_and_columns_may_clash(spark):
+    said = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    texts = [f"{said}...{c}{said[::-1]}" for c in "\x85\u2028\u2029\r\x0b"] + [f"{said}...\n{said[::-1]}", f"x{said}\x85- {said[::-1]}"]
+    frame = spark.createDataFrame([(k, t, -k, "own", "u") for k, t in enumerate(texts)], "doc_id long, text string, n_words int, kept_row string, tessera_body string")
+    kept = quality_rules.kept_rows(frame)
+    assert kept.columns == frame.columns
+    found = {tuple(r) for r in kept.collect()}
+    assert found == {(k, t, -k, "own", "u") for k, t in enumerate(texts) if k != 5}
+
+
 # 4 WARC
 
 
@@ -432,6 +442,44 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert {r.component_id for r in got} == {71}
 
 
+@pytest.mark.parametrize("words", [70, 150])
+def test_groups_of_copies_about_the_threshold(spark, words, monkeypatch):
+    """Copies that change some words each, so that pairs lie on both sides of 0.85; in small blocks, with few proposals."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "PROPOSED", 1)
+    rng, rows = random.Random(words), []
+    for _ in range(2):
+        base = [f"{w}{k}" for k, w in enumerate(rng.choices(VOCABULARY, k=words))]
+        for changes in [rng.randint(1, 3) for _ in range(60)]:
+            own = base.copy()
+            for k in rng.sample(range(words), changes):
+                own[k] = f"new{rng.random()}"
+            rows.append((len(rows), " ".join(own)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(brute_components(rows, 85))
+
+
+def test_whole_sketches_never_show_more_than_there_is():
+    rng = np.random.default_rng(5)
+    for n in (3, 50, 3000, 40_000):
+        a, b = (np.unique(rng.integers(0, 2 * n, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        odd = int(np.bitwise_count(np.bitwise_xor(*near_dedup.whole_sketches([a, b]).view(np.uint64))).sum())
+        different = len(np.setxor1d(a, b))
+        assert odd <= different
+        assert (different - odd) % 2 == 0
+
+
+def test_tables_of_a_computation_are_deleted(spark, docs):
+    from pathlib import Path
+
+    from tessera.llm.store import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "tessera"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    near_dedup.near_duplicates(docs, 85).count()
+    assert len(set(folder.iterdir()) - before) == 2
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     for j in (0.7, 0.85, 0.95):
@@ -662,6 +710,23 @@ def test_what_a_longer_tile_cuts_short_is_tiled_by_its_rest():
     assert sum(n for _, _, n in decontaminate.tiles(text, passage, 5)) == brute_tiles(text, passage, 5) == 14
 
 
+def test_tiles_of_overlapping_and_repeated_words():
+    rng = np.random.default_rng(0)
+    passage = np.arange(20).astype(np.uint64)
+    text = np.concatenate([passage[6:15], [100, 101, 102], passage[:8], [103, 104]]).astype(np.uint64)
+    assert sum(n for _, _, n in decontaminate.tiles(text, passage, 5)) == 15
+    for k in range(200):
+        m = int(rng.integers(5, 60))
+        passage = (rng.permutation(100)[:m] if k % 2 else rng.integers(0, int(rng.integers(2, 30)), m)).astype(np.uint64)
+        parts = []
+        for _ in range(int(rng.integers(1, 6))):
+            a = int(rng.integers(0, m))
+            parts += [passage[a : int(rng.integers(a, m + 1))], rng.integers(1000, 1010, int(rng.integers(0, 3))).astype(np.uint64)]
+        text = np.concatenate(parts)
+        assert sum(n for _, _, n in decontaminate.tiles(text, passage, 5)) == brute_tiles(text, passage, 5)
+    assert decontaminate.tiles(np.ones(20_000, np.uint64), np.ones(200, np.uint64), 5) == [(0, 0, 200)]
+
+
 def test_items_of_few_words_are_found(spark):
     bench = spark.createDataFrame([(1, "few words here"), (2, "lone"), (3, "one two three four"), (4, ""), (5, "five words of an item")], "item_id long, text string")
     frame = spark.createDataFrame([(1, "a Few words HERE b"), (2, "few words there"), (3, "lone"), (4, "zero one two three four"), (5, "one two x three four"), (6, "few words"), (7, "here")], "doc_id long, text string")
