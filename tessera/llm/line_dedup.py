@@ -2,7 +2,7 @@
 
 How it scales: a window of three lines travels as two 64-bit hashes. A first aggregation, combined on the map side, finds the hashes that occur twice; only windows
 with such a hash keep their place and meet the first place of their hash. Each document gets one array of positions back. A window that fills a third of the corpus
-is one row a task in the aggregation, and a key that a skewed join splits afterwards.
+is one row a task in each aggregation. Both joins have a stored table on either side, so that an adaptive plan broadcasts the small one or splits a key's rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import saved
+from tessera.llm.store import dropped, saved
 
 #: Lines of a window.
 LINES = 3
@@ -31,9 +31,10 @@ def _windows(docs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, covered) of documents that lose lines: the positions, from 0, that later occurrences of a window cover."""
     windows = _windows(docs)
-    often = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+    often = saved(windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"), "often")
     again = saved(windows.join(often, ["one", "two"]).select("one", "two", F.struct("doc_id", "text_hash", "at").alias("place")), "windows")
-    first = again.groupBy("one", "two").agg(F.min("place").alias("first"))
+    dropped(often)
+    first = saved(again.groupBy("one", "two").agg(F.min("place").alias("first")), "first")
     later = again.join(first, ["one", "two"]).where("place > first")
     starts = later.groupBy("place.doc_id", "place.text_hash").agg(F.collect_set("place.at").alias("starts"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + LINES - 1))))
@@ -48,15 +49,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     window; an empty text is one empty line; null doc_ids come first; rows equal in doc_id and text are one document, and get the same text; ties cannot be, as a
     place occurs once; an empty table gives no rows; columns n_lines and n_removed that were there are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    docs = docs.select(*rest, "text").withColumn("tessera_hash", F.xxhash64("text"))
-    gone = removed_lines(docs.select("doc_id", "text", F.col("tessera_hash").alias("text_hash"))).select(F.col("doc_id").alias("tessera_id"), F.col("text_hash").alias("tessera_key"), "covered")
-    gone = gone.withColumnRenamed("covered", "tessera_covered")
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("tessera_id")) & (F.col("tessera_hash") == F.col("tessera_key")), "left")
-    out = out.withColumn("tessera_lines", F.split("text", "\n"))
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("tessera_lines") - 1), "tessera_covered"))
-    text = F.when(F.col("tessera_covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("tessera_lines", i)), "\n"))
-    return out.select(*rest, text.alias("text"), _size("tessera_lines").alias("n_lines"), _size("tessera_covered").alias("n_removed"))
+    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    docs = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"), F.struct(*names).alias("row"))
+    gone = removed_lines(docs).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "covered")
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
+    out = out.withColumn("lines", F.split("text", "\n"))
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "covered"))
+    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    return out.select(*(F.col("row")[c].alias(c) for c in names), text.alias("text"), _size("lines").alias("n_lines"), _size("covered").alias("n_removed"))
 
 
 SQL = """
