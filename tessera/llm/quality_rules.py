@@ -31,31 +31,27 @@ class Rule:
 
 
 def default_rules() -> list[Rule]:
-    """Rules in the manner of published web-corpus filters."""
-    words, lines = F.col("n_words"), F.regexp_count("text", F.lit(r"(?m)^.*" + _WORD + ".*$"))
+    """Rules in the manner of published web-corpus filters. Lines end at \\n alone: (?d) keeps ^ and $ from other line ends."""
+    words, lines = F.col("n_words"), F.regexp_count("text", F.lit(r"(?md)^.*" + _WORD + ".*$"))
     return [
         Rule("symbols", F.col("n_symbols") * 10 > words),
         Rule("mean_word_length", (F.col("word_chars") < words * 2) | (F.col("word_chars") > words * 15)),
         Rule("duplicate_lines", F.col("n_dup_lines") * 10 > lines * 3),
         Rule("words_without_letters", F.regexp_count("text", F.lit(r"(?<!" + _WORD + r")[^\p{L}\x20\x09-\x0D]++(?!" + _WORD + ")")) * 10 > words * 3),
-        Rule("bullet_lines", F.regexp_count("text", F.lit(r"(?m)^[\x20\x09]*[-*•●▪][\x20\x09]")) * 10 > lines * 9),
-        Rule("ellipsis_lines", F.regexp_count("text", F.lit(r"(?m)(?:\.\.\.|…)[\x20\x09\x0D]*$")) * 10 > lines * 3),
+        Rule("bullet_lines", F.regexp_count("text", F.lit(r"(?md)^[\x20\x09]*[-*•●▪][\x20\x09]")) * 10 > lines * 9),
+        Rule("ellipsis_lines", F.regexp_count("text", F.lit(r"(?md)(?:\.\.\.|…)[\x20\x09\x0D]*$")) * 10 > lines * 3),
     ]
 
 
-#: Columns that `measured` adds.
-_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
 def measured(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id and text, or with `keep` all columns of `docs`, with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long) in place of any such.
+    """doc_id and text with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long); with `keep`, the whole row as the struct `kept_row` in place of doc_id.
 
     A filter on these must name tessera_row too, a number of the row that is not deterministic: else the optimizer moves the filter below and makes the arrays anew
     for each of their elements.
     """
     text = F.coalesce("text", F.lit(""))
-    own = [c for c in docs.columns if c not in _MEASURES] if keep else ["doc_id", "text"]
-    docs = docs.select(*own, F.expr(r"trim(BOTH ' \t\n\u000b\u000c\r' FROM coalesce(text, ''))").alias("tessera_body"))
+    own = ["kept_row" if keep else "doc_id", "text"]
+    docs = docs.select(F.struct(*docs.columns).alias("kept_row") if keep else "doc_id", "text", F.expr(r"trim(BOTH ' \t\n\u000b\u000c\r' FROM coalesce(text, ''))").alias("tessera_body"))
     docs = docs.withColumn("tessera_words", F.when(F.col("tessera_body") == "", F.array().cast("array<string>")).otherwise(F.split("tessera_body", _BLANK + "+")))
     docs = docs.withColumn("tessera_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD))).withColumn("n_words", F.size("tessera_words").cast("long"))
     run = F.transform("tessera_words", lambda _, i: F.xxhash64(*(F.get("tessera_words", i + k) for k in range(WINDOW))))
@@ -125,7 +121,7 @@ def quality(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
 def kept_rows(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text and any other columns) less the rows that the default rules reject."""
     rules = ordered(docs, default_rules())
-    return measured(docs, keep=True).where(verdict(rules) & (F.col("tessera_row") >= 0)).select(docs.columns)
+    return measured(docs, keep=True).where(verdict(rules) & (F.col("tessera_row") >= 0)).select("kept_row.*")
 
 
 SQL = r"""
