@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,46 +23,76 @@ SEED, COVERAGE = 5, 0.7
 #: Words of the benchmark that are handled in one pass (16 bytes each on every worker).
 BLOCK_WORDS = 2_000_000
 _BITS = 22
+#: Pairs of equal runs looked at together.
+PAIRS = 1 << 20
+
+
+def _runs(free: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the runs of `length` places that are all free."""
+    taken = np.concatenate([[0], np.cumsum(~free)])
+    return np.flatnonzero(taken[length:] == taken[:-length])
+
+
+def matches(text: np.ndarray, passage: np.ndarray, free_t: np.ndarray, free_p: np.ndarray, sought: int) -> Iterator[tuple[int, int, int]]:
+    """(length, start in the passage, start in the text) of the matches of `sought` free words or more that can be made longer at neither end.
+
+    The hashes of the passage's runs are a sorted table in which those of the text are looked up. A pair that its predecessors on both sides extend is no start,
+    so text and passage of one repeated word have as many matches as words, not as pairs of them. Pairs are looked at PAIRS at a time.
+    """
+    if min(len(text), len(passage)) < sought:
+        return
+    j = _runs(free_p, sought)
+    runs = windows(passage, sought)[j]
+    order = np.argsort(runs, kind="stable")
+    j, runs = j[order], runs[order]
+    i = _runs(free_t, sought)
+    wanted = windows(text, sought)[i]
+    low = np.searchsorted(runs, wanted, "left")
+    n = np.searchsorted(runs, wanted, "right") - low
+    i, low, n = i[n > 0], low[n > 0], n[n > 0]
+    done = np.cumsum(n)
+    for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(done // PAIRS)) + 1) if len(i) else ():
+        at = np.repeat(i[part], n[part])
+        to = j[np.repeat(low[part] - np.cumsum(n[part]) + n[part], n[part]) + np.arange(len(at))]
+        before = (at > 0) & (to > 0)
+        before[before] = (text[at[before] - 1] == passage[to[before] - 1]) & free_t[at[before] - 1] & free_p[to[before] - 1]
+        at, to = at[~before], to[~before]
+        length, live = np.zeros(len(at), np.int64), np.arange(len(at))
+        while len(live):
+            x, y = at[live] + length[live], to[live] + length[live]
+            live, x, y = (k[(x < len(text)) & (y < len(passage))] for k in (live, x, y))
+            live = live[(text[x] == passage[y]) & free_t[x] & free_p[y]]
+            length[live] += 1
+        long = length >= sought
+        yield from zip(length[long].tolist(), to[long].tolist(), at[long].tolist(), strict=True)
 
 
 def tiles(text: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of word hashes: (start in the text, start in the passage, length), none shorter than `least`, none overlapping.
 
-    Running Karp-Rabin: hashes of all unmarked runs of a length, in the passage a table, in the text looked up; matches are extended as far as words agree and
-    are unmarked. The longest are marked first; of equals, the first in the passage, then in the text. A match longer than twice the length sought restarts the
-    search with its length, else the length falls to what was found, and in the end to `least`, which is sought until nothing more is marked: what a longer tile
-    has cut short is found again by its rest.
+    Running Karp-Rabin: all matches of a length or more are found by hashes of runs of that length, and the longest are marked first; of equals, the first in the
+    passage, then in the text. A match that tiles have cut goes back in line with each free rest of that length or more. Then the length is halved, down to `least`;
+    matches over twice as long as the first length are simply longer ones of that pass.
     """
     free_t, free_p = np.ones(len(text), bool), np.ones(len(passage), bool)
     out, sought = [], max(least, min(len(passage), len(text), 4 * least))
     while True:
-        table: dict[int, list[int]] = {}
-        for j, h in enumerate(windows(passage, sought).tolist()):
-            if free_p[j : j + sought].all():
-                table.setdefault(h, []).append(j)
-        found: list[tuple[int, int, int]] = []
-        if table:
-            runs = windows(text, sought)
-            for i in np.flatnonzero(np.isin(runs, np.fromiter(table, np.uint64, len(table)))).tolist():
-                if not free_t[i : i + sought].all():
-                    continue
-                for j in table[int(runs[i])]:
-                    n = 0
-                    while i + n < len(text) and j + n < len(passage) and text[i + n] == passage[j + n] and free_t[i + n] and free_p[j + n]:
-                        n += 1
-                    if n >= sought:
-                        found.append((n, j, i))
-        longest = max((n for n, _, _ in found), default=0)
-        if longest > 2 * sought:
-            sought = longest
-            continue
-        marked = False
-        for n, j, i in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if free_t[i : i + n].all() and free_p[j : j + n].all():
-                free_t[i : i + n] = free_p[j : j + n] = False
-                out.append((i, j, n))
-                marked = True
-        if sought == least and not marked:
+        line = [(-n, j, i) for n, j, i in matches(text, passage, free_t, free_p, sought)]
+        heapify(line)
+        while line:
+            n, j, i = heappop(line)
+            free = free_t[i : i - n] & free_p[j : j - n]
+            if free.all():
+                free_t[i : i - n] = free_p[j : j - n] = False
+                out.append((i, j, -n))
+                if not len(_runs(free_p, sought)):
+                    break
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if b - a >= sought:
+                    heappush(line, (a - b, j + a, i + a))
+        if sought == least:
             return sorted(out)
         sought = max(least, sought // 2)
 
