@@ -28,8 +28,6 @@ CAPACITY, END_ID = 1024, 2
 SHARD = 20_000
 #: Bytes tokenized at once and different words kept with their ids (then the store starts anew).
 SLICE_BYTES, MAX_WORDS = 2 << 20, 1_200_000
-#: Underfull bins in a row that the search may fail to empty before it ends.
-PATIENCE = 100
 SPECIAL = b"<|endoftext|>"
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -238,18 +236,28 @@ class Search:
         return True
 
     def run(self) -> list[list[int]]:
-        failed, tried = 0, set()
-        while failed < PATIENCE and (left := [b for b, free in enumerate(self.free) if free and self.bins[b] and b not in tried]):
-            b = max(left, key=lambda b: (self.free[b], b))
-            tried.add(b)
-            self.index(b, -1)
-            while self.bins[b] and self.step(b):
-                pass
-            if self.bins[b]:
+        """The bins after passes over all underfull ones, the emptiest first, until a whole pass empties none or there are no more bins than the tokens fill.
+
+        A bin that cannot be emptied takes no part in the rest of a pass, so tokens go to fuller bins alone and each step raises the squared fill.
+        """
+        least = -(-sum(self.sizes) // self.capacity)
+        count = len(self.bins)
+        emptied = True
+        while emptied and count > least:
+            emptied, stuck = False, []
+            for b in sorted((b for b, free in enumerate(self.free) if free and self.bins[b]), key=lambda b: (-self.free[b], b)):
+                if self.free[b]:
+                    self.index(b, -1)
+                    while self.bins[b] and self.step(b):
+                        pass
+                    if self.bins[b]:
+                        stuck.append(b)
+                    else:
+                        count, emptied = count - 1, True
+                        if count == least:
+                            break
+            for b in stuck:
                 self.index(b, 1)
-                failed += 1
-            else:
-                failed = 0
         return [b for b in self.bins if b]
 
 
