@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textbytes import slices
+from tessera.llm.textbytes import slices, spread
 
-#: Labelled text of a language in bytes, documents that it is taken from, and characters that count of a longer one.
+#: Labelled text of a language in bytes, documents that it is taken from, and characters of a longer one, in stretches spread over it.
 LEARNED_BYTES, LEARNED_DOCS, LEARNED_LONGEST = 24_000, 64, 20_000
 #: Bytes of a stretch: a parse begins anew at its start, which adds a phrase at most, for each language alike.
 STRETCH, SLICE_BYTES = 1024, 4 << 20
@@ -99,9 +99,10 @@ def phrases(data: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray], sym
 def learned(docs: DataFrame, folds: int = 4, held: int = 2) -> dict[str, bytes]:
     """For each language the first LEARNED_BYTES of lower-cased text from LEARNED_DOCS documents at most, those with the least hashes in as many slots.
 
-    Only rows with lang and text whose crc32(doc_id as text) mod `folds` is not `held` count.
+    Only rows with lang and text whose crc32(doc_id as text) mod `folds` is not `held` count; of rows of one lang and doc_id, the least text. What comes to the
+    driver is LEARNED_DOCS texts of LEARNED_LONGEST characters for each language at most.
     """
-    docs = docs.withColumn("text", F.substring("text", 1, LEARNED_LONGEST))
+    docs = docs.withColumn("text", spread("text", LEARNED_LONGEST))
     usable = docs.where((F.crc32(F.col("doc_id").cast("string")) % folds != held) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("slot", F.pmod("h", F.lit(LEARNED_DOCS)))
     slots = hashed.groupBy("lang", "slot").agg(F.min(F.struct("h", "doc_id")).alias("least"))
@@ -109,7 +110,7 @@ def learned(docs: DataFrame, folds: int = 4, held: int = 2) -> dict[str, bytes]:
     if not picked:
         return {}
     ids = docs.sparkSession.createDataFrame(picked, f"lang string, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    rows = usable.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"]).collect()
+    rows = usable.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
         out[r.lang] = (out.get(r.lang, b"") + pc.utf8_lower(pa.scalar(r.text)).as_py().encode() + b"\n")[:LEARNED_BYTES]

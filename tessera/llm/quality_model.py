@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textbytes import slices
+from tessera.llm.textbytes import slices, spread
 
-#: Labelled documents of each label that the network learns from, and the longest of them in bytes.
-SAMPLE_EACH, SAMPLE_BYTES = 1000, 40_000
+#: Labelled documents of each label that the network learns from, and characters of a longer one, in stretches spread over it.
+SAMPLE_EACH, SAMPLE_CHARS = 1000, 40_000
 #: A filter sees WIDTH bytes, two strides, from every STRIDE-th on; a block has BLOCK bytes, a chunk is two blocks in a row, so chunks overlap by half.
 WIDTH, STRIDE, BLOCK = 8, 4, 128
 DIMENSIONS, FILTERS = 4, 32
@@ -132,17 +132,18 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> Network:
 def fitted(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Network | None:
     """A network from at most SAMPLE_EACH documents of each label, those with the least hashes of doc_id; None if a label has none.
 
-    Only rows whose crc32(doc_id as text) mod `folds` is not `held` count. A document with several labels takes part with the least.
+    Only rows whose crc32(doc_id as text) mod `folds` is not `held` count. A document with several labels takes part with the least, a doc_id of several texts
+    with the least text. Of a text over SAMPLE_CHARS characters, stretches from its whole length serve; scoring always sees every byte.
     """
     spark = docs.sparkSession
     usable = labels.where((F.crc32(F.col("doc_id").cast("string")) % folds != held) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    usable = docs.select("doc_id").where(F.octet_length("text") <= SAMPLE_BYTES).join(usable, "doc_id").distinct()
+    usable = docs.where("text is not null").select("doc_id").join(usable, "doc_id").distinct()
     picked = [r for q in (0, 1) for r in usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH).collect()]
     if len({r.quality for r in picked}) < 2:
         return None
     ids = spark.createDataFrame([(r.doc_id, r.quality) for r in picked], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int")
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id").collect()
-    rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: r.text)}.values(), key=lambda r: r.doc_id)
+    rows = docs.select("doc_id", spread("text", SAMPLE_CHARS).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: r.doc_id)
     return train([r.text.encode() for r in rows], np.array([r.quality for r in rows]))
 
 

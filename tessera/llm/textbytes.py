@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; a longer text is handled alone. Temporary arrays take about 60 times as much.
 SLICE_BYTES = 1 << 20
@@ -20,6 +22,13 @@ _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uin
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def spread(text: str, most: int, parts: int = 10) -> Column:
+    """A text column, where it has over `most` characters as `parts` stretches of most / parts characters, evenly spread from beginning to end; for samples to learn from."""
+    size, piece = F.length(text), most // parts
+    cut = (F.substr(text, (F.floor((size - piece) * F.lit(k) / (parts - 1)) + 1).cast("int"), F.lit(piece)) for k in range(parts))
+    return F.when(size <= most, F.col(text)).otherwise(F.concat_ws("\n", *cut))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finalizer of splitmix64)."""
     h = h ^ (h >> np.uint64(30))
