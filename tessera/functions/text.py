@@ -22,6 +22,7 @@ EMAIL = r"(?U)[\w.+-]+@[\w-]+(\.[\w-]+)+"
 PHONE = r"(?U)\+?\d[\d\s().-]{8,16}\d"
 PROPER_NOUN = r"(?<=[a-z,;:] )[A-Z][a-z]{2,}\b"
 FIRST_PERSON = r"\b(I|[Mm]y|[Mm]e)\b"
+ITEM_GAP = r",\s*(?![^()]*\))"
 TAG = r"</?[A-Za-z][^<>]*>"
 COMMAND = r"\\[A-Za-z]+\{"
 
@@ -62,7 +63,7 @@ def display_url(url: Column) -> Column:
 
 def items(text: Column) -> Column:
     """Parts between commas that are not inside parentheses."""
-    return F.filter(F.transform(F.split(text, r",\s*(?![^()]*\))"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ITEM_GAP), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def segments(text: Column) -> Column:
