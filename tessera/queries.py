@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera import schema
 from tessera.config import Config
 from tessera.functions import dates, text
 from tessera.operators import blocks, extract, lint, quality, verify
@@ -128,11 +130,10 @@ def split_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.items(F.concat_ws(", ", "p_name", "p_type")), "|").alias("items"))
 
 
-@query("SELECT doc_id, i::INTEGER AS part, s AS text, i % 2 = 1 AS bold FROM (SELECT doc_id, unnest(string_split(text, '**')) AS s, generate_subscripts(string_split(text, '**'), 1) - 1 AS i FROM documents WHERE contains(text, '**')) WHERE s <> ''")
+@query("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS part, s AS text, i % 2 = 1 AS bold FROM (SELECT doc_id, unnest(string_split(text, '**')) AS s, generate_subscripts(string_split(text, '**'), 1) - 1 AS i FROM documents WHERE contains(text, '**')) WHERE s <> ''")
 def bold_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("text").contains("**"))
-    parts = docs.select("doc_id", F.posexplode(F.split("text", r"\*\*")).alias("part", "text")).where("text <> ''")
-    return parts.select("doc_id", "part", "text", (F.col("part") % 2 == 1).alias("bold"))
+    return docs.select("doc_id", F.posexplode(text.segments(F.col("text"))).alias("part", "s")).select("doc_id", "part", "s.text", "s.bold")
 
 
 # filters, predicates and style rules
@@ -153,9 +154,11 @@ def present_tense_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.present_tense(F.col("text")).alias("present"))
 
 
-@query("SELECT doc_id, (len(string_split(text, '**')) - 1) % 2 = 1 AS unbalanced, regexp_extract(text, '</?[A-Za-z][^<>]*>') AS tag FROM documents")
+@query(r"""SELECT doc_id, CASE WHEN (len(string_split(text, '**')) - 1) % 2 = 1 THEN 'unbalanced **' WHEN regexp_matches(text, '</?[A-Za-z][^<>]*>') THEN regexp_extract(text, '</?[A-Za-z][^<>]*>')
+WHEN regexp_matches(text, '\\[A-Za-z]+\{') THEN regexp_extract(text, '\\[A-Za-z]+\{') END AS problem FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -page_id, html FROM pages)""")
 def markup_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", ((F.size(F.split("text", r"\*\*")) - 1) % 2 == 1).alias("unbalanced"), F.regexp_extract("text", text.TAG, 0).alias("tag"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(table(spark, sf_dir, "pages").select((-F.col("page_id")).alias("doc_id"), F.col("html").alias("text")))
+    return texts.select("doc_id", text.markup_problem(F.col("text")).alias("problem"))
 
 
 # joins
@@ -328,6 +331,89 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.select(F.col("c_custkey").alias("custkey"), render.output_name(F.col("c_name"), F.col("n_name")).alias("stem"))
 
 
+# checks of records that are made from other tables, so that SQL can say what they find
+
+
+def _record(**given: Column) -> Column:
+    """A record with these sections; all others are empty."""
+    kinds = {f.name: f.dataType for f in schema.struct(schema.RESUME)}
+    nothing = {k: F.array() if isinstance(t, T.ArrayType) else F.from_json(F.lit("{}"), t) if isinstance(t, T.StructType) else F.lit(None) for k, t in kinds.items()}
+    return F.struct(*((F.from_json(F.to_json(given[k]), t) if k in given and not isinstance(t, T.StringType) else given.get(k, nothing[k]).cast(t)).alias(k) for k, t in kinds.items()))
+
+
+_JOBS = """j AS (SELECT o_custkey AS custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m') END AS a,
+CASE WHEN o_orderkey % 7 = 0 THEN 'present' WHEN o_orderkey % 9 > 0 THEN strftime(o_orderdate + INTERVAL 45 DAY, '%Y-%m') END AS b FROM orders),
+m AS (SELECT *, substr(a, 1, 4)::INT * 12 + CASE WHEN length(a) = 4 THEN 0 ELSE substr(a, 6)::INT - 1 END AS x, CASE WHEN b = 'present' THEN 1000000 ELSE substr(b, 1, 4)::INT * 12 + substr(b, 6)::INT - 1 END AS y FROM j)"""
+
+
+@query(f"""WITH {_JOBS}
+SELECT custkey, 'missing-date' AS name, 'experience[' || i || ']' AS location, 'a date is missing' AS detail FROM j WHERE b IS NULL
+UNION ALL SELECT custkey, 'mixed-dates', 'experience', 'mixes YYYY-MM and YYYY dates' FROM (SELECT custkey, unnest([a, b]) AS d FROM j) WHERE d <> 'present' GROUP BY custkey HAVING count(DISTINCT contains(d, '-')) > 1
+UNION ALL SELECT p.custkey, 'overlapping-dates', 'experience[' || p.i || '] and experience[' || q.i || ']', 'date ranges overlap' FROM m p JOIN m q ON p.custkey = q.custkey AND p.i < q.i AND p.x < q.y AND q.x < p.y""")
+def lint_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date rules of `lint` over customers whose orders are jobs."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    start = F.when(key % 5 == 0, F.date_format(day, "yyyy")).otherwise(F.date_format(day, "yyyy-MM"))
+    end = F.when(key % 7 == 0, "present").when(key % 9 > 0, F.date_format(F.date_add(day, 45), "yyyy-MM"))
+    jobs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", start.alias("start"), end.alias("end"), F.array().cast("array<string>").alias("bullets")))).alias("jobs"))
+    docs = jobs.select(F.col("o_custkey").alias("custkey"), _record(experience=F.col("jobs")).alias("resume")).withColumn("bullets", lint.bullets(F.col("resume")))
+    return docs.select("custkey", F.inline(lint.row_warnings(F.col("resume"))))
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a source, its first line the heading, and a record that says what the next document does."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    said = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("said"))
+    line = lambda c: F.substring_index(c, "\n", 1)
+    url = F.concat(F.lit("http://www.x.org/"), F.col("doc_id").cast("string"), F.lit("/"))
+    lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct(F.when(i == 0, "heading").otherwise("paragraph").alias("kind"), t.alias("text"), F.lit(0).alias("level"), F.lit("").alias("role"), F.lit("").alias("url"), F.lit(False).alias("new_entry"), F.lit("").alias("section")))
+    job = F.struct(F.col("source").alias("company"), F.col("lang").alias("title"), F.lit("2019-05").alias("start"), F.when(F.col("doc_id") % 3 > 0, "2020").alias("end"), F.array().cast("array<string>").alias("bullets"))
+    basics = F.struct(line("said").alias("name"), F.substring("said", 1, 60).alias("headline"), F.array(F.struct(url.alias("url"))).alias("links"))
+    resume = _record(meta=F.struct(F.create_map(F.lit("summary"), line("said")).alias("headings")), basics=basics, summary=F.col("said"), experience=F.array(job))
+    links = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit("x").alias("text"), url.alias("url")))).otherwise(F.array().cast("array<struct<text:string,url:string>>"))
+    return docs.join(said, "doc_id").select("doc_id", lines.alias("blocks"), links.alias("links"), resume.alias("resume"))
+
+
+_PAIRED = """p AS (SELECT a.doc_id, a.text, b.text AS said, a.lang, a.source, 'http://www.x.org/' || a.doc_id || '/' AS url FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL),
+u AS (SELECT doc_id, class, location, text, url, start, "end" FROM (
+SELECT doc_id, 'part' AS class, 'basics.name' AS location, split_part(said, chr(10), 1) AS text, NULL AS url, NULL AS start, NULL AS "end" FROM p
+UNION ALL SELECT doc_id, 'part', 'basics.headline', substr(said, 1, 60), NULL, NULL, NULL FROM p
+UNION ALL SELECT doc_id, 'prose', 'summary', said, NULL, NULL, NULL FROM p
+UNION ALL SELECT doc_id, 'part', 'experience[0].company', source, NULL, NULL, NULL FROM p
+UNION ALL SELECT doc_id, 'part', 'experience[0].title', lang, NULL, NULL, NULL FROM p
+UNION ALL SELECT doc_id, 'url', 'basics.links[0].url', NULL, url, NULL, NULL FROM p
+UNION ALL SELECT doc_id, 'date', 'experience[0]', NULL, NULL, '2019-05', CASE WHEN doc_id % 3 > 0 THEN '2020' END FROM p) WHERE text <> '' OR class IN ('url', 'date'))"""
+
+
+@query(f"WITH {_PAIRED} SELECT * FROM u")
+def record_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paired(spark, sf_dir).select("doc_id", F.inline(verify.units(F.col("resume"))))
+
+
+@query(f"""WITH {_PAIRED}, t AS (SELECT doc_id, {_norm('text')} AS hay FROM p), n AS (SELECT doc_id, 'No additions' AS name, location, text AS detail FROM u JOIN t USING (doc_id) WHERE class = 'part' AND NOT contains(hay, {_norm('u.text')}))
+SELECT * FROM n
+UNION ALL SELECT doc_id, 'No additions', 'meta.headings.summary', split_part(said, chr(10), 1) FROM p WHERE {_norm('split_part(said, chr(10), 1)')} <> {_norm('split_part(text, chr(10), 1)')}
+UNION ALL SELECT doc_id, 'No additions', 'basics.links[0].url', url FROM p WHERE doc_id % 2 <> 0
+UNION ALL SELECT doc_id, 'No additions', 'experience[0]', CASE WHEN doc_id % 3 > 0 THEN '2019-05 to 2020' ELSE '2019-05' END FROM p
+UNION ALL SELECT doc_id, 'Numbers', NULL, x FROM (SELECT DISTINCT doc_id, p.text, unnest(regexp_extract_all(u.text, '{_NUM}')) AS x FROM p JOIN u USING (doc_id)) WHERE NOT list_contains(regexp_extract_all(text, '{_NUM}'), x)
+UNION ALL SELECT doc_id, 'Keywords', NULL, x FROM (SELECT doc_id, {_norm("concat_ws(' ', nullif(split_part(said, chr(10), 1), ''), nullif(substr(said, 1, 60), ''), nullif(said, ''), source, lang, url)")} AS everything, unnest({_tech("replace(CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END, chr(10), ' ')")}) AS x FROM p) WHERE NOT contains(everything, {_norm('x')})""")
+def verify_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What set differences find: added parts, headings, URLs, dates and numbers, and lost keywords."""
+    docs = verify.prepared(_paired(spark, sf_dir)).withColumn("dictionary", F.array().cast("array<string>"))
+    return verify.set_checks(docs)
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+k AS (SELECT doc_id, i, CASE WHEN i % 4 > 0 THEN 'paragraph: ' || t WHEN i % 12 = 0 THEN 'heading: References' ELSE 'heading: Other' END AS line, i // 4 % 3 = 0 AS dropped FROM l)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (dropped) AS dropped, count(*) FILTER (NOT dropped) AS kept FROM k GROUP BY doc_id""")
+def sections_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth line is a heading here, and every third of those one whose section goes."""
+    block = lambda t, i: F.struct(F.when(i % 4 > 0, "paragraph").otherwise("heading").alias("kind"), F.when(i % 4 > 0, t).when(i % 12 == 0, "References").otherwise("Other").alias("text"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), block).alias("blocks"))
+    out = blocks.without_dropped(docs, Config(drop_sections=("references",)))
+    return out.select("doc_id", F.array_join("dropped", "\n").alias("dropped"), F.size("blocks").cast("long").alias("kept"))
+
+
 # documents through sources, records, checks and renderings
 
 
