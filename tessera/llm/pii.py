@@ -1,7 +1,8 @@
 """Surrogates for personal data: what is found in a text is replaced by something of the same kind and shape.
 
 How it scales: detection and replacement are one narrow pass without any table of entities. A surrogate is a keyed permutation of the entity's own format, so equal
-entities get equal surrogates everywhere and different ones different ones, by construction, in any number of tasks. A check over a corpus is one aggregation.
+entities get equal surrogates everywhere and different ones different ones, by construction, in any number of tasks. A check over the corpus, one aggregation of
+different pairs, confirms that before texts are replaced, and takes another key if it fails.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import hmac
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -29,8 +30,12 @@ NAMES = {
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Софья Татьяна".split(),
     ("cyrillic", "m"): "Алексей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей".split(),
 }
-#: Titles that show a name and, where they do, its bearer's gender: fixed values.
-TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Señora": "f", "Sra": "f", "Dr": "", "Prof": "", "г-н": "m", "г-жа": "f"}
+#: Titles that show a name, and endings of names that show gender or descent and stay; none of these ends in another: fixed values.
+TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Sra", "Dr", "Prof", "г-н", "г-жа")
+ENDINGS = ("ова", "ева", "ина", "ская", "цкая", "ов", "ев", "ин", "ский", "цкий", "ович", "евич", "овна", "евна", "ova", "eva", "ina", "ska", "skaya", "ov", "ev", "ski", "sky", "skiy", "ovich", "ovna", "sson", "sdóttir", "opoulos", "opoulou")
+VOWELS = frozenset("aeiouyаеёиоуыэюяіїєαεηιουω")
+#: Keys that the check over a corpus may try, one after the other.
+KEYS = 8
 
 #: Kinds in order of precedence.
 PATTERNS = {
@@ -41,12 +46,13 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w])|(?<![\w.])\+\d{8,15}(?!\w)",
+    # without + or brackets, not what a number in groups of thousands looks like
+    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])|\(\d{2,4}\)[ .-]?|(?<!\d[ .])(?!\d{1,2}(?P<by>[ .])\d{3}(?:(?P=by)\d{3})*(?![\w-]))(?!\d{1,3}(?P<of>[ .])000(?:(?P=of)000)*(?!\w))\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)",
     "name": r"\b(?P<title>" + "|".join(TITLES) + r")\.? (?P<name>[^\W\d_a-zа-я]\w+(?:-[^\W\d_]\w+)?(?: [^\W\d_a-zа-я]\w+)?)",
 }
 DETECT = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
 #: A text without any of these has no entity. Arrow's \b and \d know ASCII alone, so neither is used.
-HINT = r"@|\p{Nd}|[A-Za-z0-9_-]{20}|(?i:token|secret|passw|pwd|api.?key|access.?key)|(?:" + "|".join(TITLES) + r")\.? "
+HINT = r"@|\p{Nd}|[A-Za-z0-9_-]{20}|xox[abprs]-|eyJ|(?i:token|secret|passw|pwd|api.?key|access.?key)|(?:" + "|".join(TITLES) + r")\.? "
 
 #: Names that are replaced by others of their list, and beginnings of keys that keep them.
 LISTED = frozenset(n for listed in NAMES.values() for n in listed)
@@ -76,6 +82,29 @@ def alphabet(c: str) -> str:
     return "".join(x for x in same if not any(x in known for known in _PLAIN))
 
 
+@lru_cache(100_000)
+def spoken(c: str) -> str:
+    """`alphabet` less what is a vowel where `c` is none, or the other way round, so that a name can still be said."""
+    vowel = lambda x: unicodedata.normalize("NFD", x)[0].lower() in VOWELS
+    return "".join(x for x in alphabet(c) if vowel(x) == vowel(c))
+
+
+def ending(name: str) -> str:
+    """The ending of a name that stays: one of ENDINGS after two letters or more."""
+    return next((e for e in ENDINGS if name.endswith(e) and len(name) >= len(e) + 2), "")
+
+
+def canonical(iban: str) -> bool:
+    """Whether the two check digits are those that ISO 7064 gives for the rest."""
+    plain = iban.replace(" ", "")
+    return plain[2:4] == with_check97(plain[:2], plain[4:])[2:4]
+
+
+def with_check97(country: str, body: str) -> str:
+    number = int("".join(str(int(c, 36)) for c in body + country + "00"))
+    return f"{country}{98 - number % 97:02d}{body}"
+
+
 class Surrogates:
     """Keyed replacements."""
 
@@ -116,11 +145,11 @@ class Surrogates:
             if x < size:
                 return x
 
-    def shaped(self, label: str, text: str, hexadecimal: bool = False) -> str:
+    def shaped(self, label: str, text: str, hexadecimal: bool = False, letters: Callable[[str], str] = alphabet) -> str:
         """Digits, small and capital letters each replaced by others of their kind and script, all else kept; different texts of one shape stay different."""
         if len(text) > CHUNK:
-            return "".join(self.shaped(f"{label}|{k}", text[k : k + CHUNK], hexadecimal) for k in range(0, len(text), CHUNK))
-        sets = [(_HEX if c in _HEX else "") if hexadecimal else alphabet(c) for c in text]
+            return "".join(self.shaped(f"{label}|{k}", text[k : k + CHUNK], hexadecimal, letters) for k in range(0, len(text), CHUNK))
+        sets = [(_HEX if c in _HEX else "") if hexadecimal else letters(c) for c in text]
         x, size = 0, 1
         for c, s in zip(text, sets, strict=True):
             if s:
@@ -134,7 +163,7 @@ class Surrogates:
             out.append(c)
         return "".join(reversed(out))
 
-    def _of(self, kind: str, entity: str, gender: str = "") -> str:
+    def _of(self, kind: str, entity: str) -> str:
         if kind == "email":
             name, host = entity.rsplit("@", 1)
             *labels, top = host.split(".")
@@ -149,7 +178,11 @@ class Surrogates:
         if kind == "card":
             return self.walked("card", entity, luhn)
         if kind == "iban":
-            return entity[:2] + self.shaped("iban" + entity[:2], entity[2:])
+            plain = entity.replace(" ", "")
+            if not entity.isascii() or not canonical(entity):
+                return entity[:2] + self.walked("iban" + entity[:2], entity[2:], lambda x: x.isascii() and canonical(entity[:2] + x))
+            new = iter(with_check97(plain[:2], self.shaped("iban" + plain[:2], plain[4:])))
+            return "".join(c if c == " " else next(new) for c in entity)
         if kind == "phone":
             lead = re.match(r"\+\d{1,3}(?=[ .(-])", entity)
             keep = lead.end() if lead else entity.startswith("+")
@@ -160,22 +193,27 @@ class Surrogates:
         if kind == "secret":
             return self.walked(kind, entity, KNOWN.match) if not re.fullmatch("[0-9a-f]+", entity) else self.shaped(kind, entity, True)
         if kind == "name":
-            return " ".join(self.name(part, gender if k == 0 else "") for k, part in enumerate(entity.split(" ")))
+            return " ".join(map(self.name, entity.split(" ")))
         return self.shaped(kind, entity)
 
-    def walked(self, label: str, text: str, taken) -> str:
+    def walked(self, label: str, text: str, taken: Callable[[str], object], letters: Callable[[str], str] = alphabet) -> str:
         """`shaped`, again and again until the result is none that another rule may give: a permutation of the texts that are not `taken`."""
-        text = self.shaped(label, text)
+        text = self.shaped(label, text, letters=letters)
         while taken(text):
-            text = self.shaped(label, text)
+            text = self.shaped(label, text, letters=letters)
         return text
 
-    def name(self, name: str, gender: str) -> str:
-        """A listed first name of that script and gender becomes another of its list; any other name one of the same shape, letters of its script."""
-        for (_, own), listed in NAMES.items():
-            if name in listed and own == (gender or own):
+    def name(self, name: str) -> str:
+        """A listed first name becomes another of its list, so of its script and gender, whatever its title; any other name one of the same shape.
+
+        Vowels become vowels of the script and other letters others, and an ending that shows gender stays.
+        """
+        for listed in NAMES.values():
+            if name in listed:
                 return listed[self.other("name" + listed[0], listed.index(name), len(listed))]
-        return self.walked("name", name, LISTED.__contains__)
+        if tail := ending(name):
+            return self.walked("name" + tail, name.removesuffix(tail), lambda x: x + tail in LISTED, spoken) + tail
+        return self.walked("name", name, lambda x: x in LISTED or ending(x), spoken)
 
 
 def luhn(number: str) -> bool:
@@ -192,22 +230,20 @@ def refill(shape: str, digits: str) -> str:
     return "".join(next(left) if c.isdigit() else c for c in shape)
 
 
-def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
-    """(kind, from, to, gender) of what is found, from left to right; the parts of a name that stands after a title are names wherever else the text has them."""
-    found, parts = [], {}
+def entities(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, from, to) of what is found, from left to right; the parts of a name that stands after a title are names wherever else the text has them."""
+    found, parts = [], set()
     for m in DETECT.finditer(text):
         kind = next(k for k in PATTERNS if m.group(f"k_{k}") is not None)
         a, b = m.span(kind if kind in ("secret", "name") else f"k_{kind}")
-        gender = TITLES.get(m.group("title") or "", "")
-        found.append((kind, a, b, gender))
+        found.append((kind, a, b))
         if kind == "name":
-            for k, part in enumerate(text[a:b].split(" ")):
-                parts.setdefault(part, "" if k else gender)
+            parts.update(text[a:b].split(" "))
     if parts:
         bounded = lambda x: re.escape(x) if _script(x[0]) in _UNSPACED else rf"(?<!\w){re.escape(x)}(?!\w)"
-        mention, at, more = re.compile("|".join(map(bounded, sorted(parts, key=len, reverse=True)))), 0, []
-        for a, b in [*((a, b) for _, a, b, _ in found), (len(text), len(text))]:
-            more += [("name", m.start(), m.end(), parts[m.group()]) for m in mention.finditer(text, at, a)]
+        mention, at, more = re.compile("|".join(map(bounded, sorted(parts, key=lambda x: (-len(x), x))))), 0, []
+        for a, b in [*((a, b) for _, a, b in found), (len(text), len(text))]:
+            more += [("name", m.start(), m.end()) for m in mention.finditer(text, at, a)]
             at = b
         found = sorted(found + more, key=lambda x: x[1])
     yield from found
@@ -216,8 +252,8 @@ def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
 def replaced(text: str, surrogates: Surrogates) -> tuple[str, Counter]:
     """The text with surrogates, and how many entities of each kind it had."""
     out, at, kinds = [], 0, Counter()
-    for kind, a, b, gender in entities(text):
-        out += [text[at:a], surrogates.of(kind, text[a:b], gender)]
+    for kind, a, b in entities(text):
+        out += [text[at:a], surrogates.of(kind, text[a:b])]
         at = b
         kinds[kind] += 1
     return "".join([*out, text[at:]]), kinds
@@ -233,7 +269,8 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key.encode())
         for batch in batches:
-            found = {(surrogates.of(kind, text[a:b], gender), text[a:b]) for text in batch.column(0).to_pylist() if text for kind, a, b, gender in entities(text)}
+            texts = batch.column(0).filter(pc.match_substring_regex(pc.fill_null(batch.column(0), ""), HINT)).to_pylist()
+            found = {(surrogates.of(kind, text[a:b]), text[a:b]) for text in texts for kind, a, b in entities(text)}
             rows = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], ["surrogate", "entity"])
 
@@ -243,16 +280,26 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
     return met.where("n_entities > 1 or (n_entities = 1 and is_entity)")
 
 
+def distinct_key(docs: DataFrame, key: str) -> str:
+    """`key`, or the first of those made from it for which no two different entities of `docs` share a surrogate."""
+    for turn in range(KEYS):
+        tried = f"{key}|{turn}" if turn else key
+        if not collisions(docs, tried).where("n_entities > 1").limit(1).count():
+            return tried
+    raise ValueError("no key keeps the surrogates of different entities apart")
+
+
 def surrogated(docs: DataFrame, key: str) -> DataFrame:
     """`docs` (doc_id, text and other columns) with `text` less its personal data, and with n_entities (int) and entities, a map from kind to number.
 
     Kinds: email, secret, key, iban, ip, card, ssn, phone, name (after a title, and its parts elsewhere in that text). A surrogate depends on `key`, kind and entity alone, so coreference holds across
-    the corpus; within a format the mapping is a permutation, so different entities stay different, which `collisions` checks over a corpus. Domain levels above
-    the last but one, country codes, card networks' first digits and valid check digits are kept in form. Defined cases: a null text stays null and an empty one
+    the corpus; within a format the mapping is a permutation, so different entities stay different, which is checked over `docs` before it is used (`distinct_key`). Domain
+    levels above the last but one, country codes, card networks' first digits and the validity of check digits (cards, IBANs) are kept. Defined cases: a null text stays null and an empty one
     empty, with no entities; repeated rows get equal texts; a null doc_id changes nothing; columns n_entities and entities that were there are replaced; an empty
     table gives no rows.
     """
     docs = docs.drop("n_entities", "entities")
+    key = distinct_key(docs, key)
     names = docs.columns
     spot = names.index("text")
 

@@ -658,7 +658,7 @@ def test_no_two_entities_share_a_surrogate(spark):
     docs = spark.createDataFrame([(k, f"see {x} here") for k, x in enumerate(made)] + [(None, None)], "doc_id long, text string")
     assert pii.collisions(docs, "key").where("n_entities > 1").count() == 0
     s = pii.Surrogates(b"key")
-    pairs = {(x[a:b], s.of(kind, x[a:b], g)) for x in made for kind, a, b, g in pii.entities(x)}
+    pairs = {(x[a:b], s.of(kind, x[a:b])) for x in made for kind, a, b in pii.entities(x)}
     assert len(pairs) == len({e for e, _ in pairs}) == len({n for _, n in pairs})
     assert pii.collisions(docs.limit(0), "key").count() == 0
 
@@ -690,6 +690,57 @@ def test_names_of_any_script_are_replaced_wherever_the_text_has_them():
     assert len({s.of("name", x) for x in made}) == len(made)
 
 
+def test_surrogates_keep_what_shows():
+    s = pii.Surrogates(b"key")
+    for name, tail in (("Петров", "ов"), ("Петрова", "ова"), ("Kowalska", "ska"), ("Weber", ""), ("Kovács", "")):
+        new = s.of("name", name)
+        assert new != name
+        assert new.endswith(tail)
+        assert [pii.spoken(a) for a in new] == [pii.spoken(b) for b in name]
+    assert s.of("name", "Anna") == pii.replaced("Mr Anna came", s)[0].split()[1] == pii.replaced("Ms Anna came", s)[0].split()[1]
+    assert not any(a != b and a.endswith(b) for a in pii.ENDINGS for b in pii.ENDINGS)
+    made = [a + b for a in ("Петр", "Ив", "Xz", "Bak") for b in ("", *pii.ENDINGS)]
+    assert len({s.of("name", x) for x in made}) == len(made)
+    good, bad = "DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00"
+    for iban in (good, bad):
+        new = s.of("iban", iban)
+        assert new != iban
+        assert new[:2] == "DE"
+        assert [c == " " for c in new] == [c == " " for c in iban]
+        assert pii.canonical(new) == pii.canonical(iban) == (iban is good)
+    assert s.of("iban", good).replace(" ", "") == s.of("iban", good.replace(" ", ""))
+
+
+def test_grouped_numbers_are_no_phones():
+    kinds = lambda text: [k for k, _, _ in pii.entities(text)]
+    for number in ("10 000 000 people", "1 234 567", "12 345 678 901 more", "100 000 000", "3.000.000 of them", "99.123.456"):
+        assert kinds(f"some {number} here") == []
+    for phone in ("555 123 4567", "+1 555 123 4567", "(017) 555-7713", "600 123 456", "030 1234 5678", "+49 30 123 4567", "555-123-4567"):
+        assert kinds(f"call {phone} now") == ["phone"]
+
+
+def test_the_hint_is_no_narrower_than_detection():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rng = random.Random(3)
+    parts = ["г-н ", "Иван", "Dr. ", "Ms ", "Ωρα", "田中", "xoxb-", "AKIA", "ghp_", "sk-", "eyJ", "token", "=", ":", " ", "'", "a1B2c3D4", "ZZZZ9999", "abcdefghij", "@", ".", "x.org", "+1", "555", "-", "(", ")", "١٢٣", "DE44", "é", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(20_000)] + ["xoxb-abcdefghijkl is it"]
+    found = [any(True for _ in pii.entities(t)) for t in texts]
+    hinted = pc.match_substring_regex(pa.array(texts), pii.HINT).to_pylist()
+    assert sum(found) > 1000
+    assert all(h for f, h in zip(found, hinted, strict=True) if f)
+
+
+def test_a_collision_takes_another_key(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "see a1@b.org"), (2, "see c2@b.org"), (3, None)], "doc_id long, text string")
+    assert pii.distinct_key(docs, "key") == "key"
+    assert pii.distinct_key(docs.limit(0), "key") == "key"
+    first = pii.collisions
+    monkeypatch.setattr(pii, "collisions", lambda d, k: first(d, k).select("surrogate", F.lit(2 if "|" not in k else 1).alias("n_entities"), "is_entity") if "|" in k else d.select(F.lit(2).alias("n_entities")))
+    assert pii.distinct_key(docs, "key") == "key|1"
+
+
 def test_real_bytes_beyond_the_third_are_context(spark):
     rng = random.Random(9)
     pairs = [("x1234a ", "x1234b "), ("y1239b ", "y1239a "), ("жда", "жне"), ("шне", "шда")]

@@ -65,6 +65,20 @@ def test_stages(spark, folder):
     assert {str(r.doc_id) for r in corpus_pipeline.run(spark, folder).collect()} == {str(r.doc_id) for r in packed.collect()}
 
 
+def test_rows_without_an_id_or_with_a_shared_one(spark, tmp_path):
+    rng = random.Random(4)
+    item, one, two, three = (prose(rng, 40) for _ in range(4))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    rows = [(1, one), (None, one), (2, two), (2, two), (2, two), (3, three), (3, f"x {item} y"), (None, f"{item} z"), (None, "a b c " + three), (4, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], COLUMNS)
+    stages = dict(corpus_pipeline.STAGES)
+    unique = stages["near_dedup"](spark, docs, f"file://{tmp_path}")
+    left = sorted((str(r.doc_id), r.text) for r in unique.collect() if r.text)
+    assert left == sorted([("1", one), ("2", two), ("3", three), ("3", f"x {item} y")])
+    safe = stages["decontamination"](spark, docs, f"file://{tmp_path}")
+    assert sorted((str(r.doc_id), str(r.text)) for r in safe.collect()) == sorted((str(i), str(t)) for i, t in rows if not t or item not in t)
+
+
 def test_an_empty_corpus(spark, folder):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
