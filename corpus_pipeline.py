@@ -8,18 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
 from tessera.llm.queries import table, tokenizer_path
-from tessera.llm.store import saved
+from tessera.llm.store import dropped, saved
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with doc_id in place of a key of id and text, ids that are null last: it tells apart a document that has no id, or shares its id with another text."""
+    key = F.struct(F.col("doc_id").isNull().alias("bare"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    return docs.select(key.alias("doc_id"), "text")
+
+
+def _row(key: str) -> Column:
+    """Whether a row of `docs` has the key in that column; each part is compared by itself, so that plans can join by them."""
+    return F.col("doc_id").eqNullSafe(F.col(f"{key}.id")) & F.xxhash64("text").eqNullSafe(F.col(f"{key}.text"))
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """`docs` less the rows with a doc_id of `rejected` (doc_id); rows without a doc_id cannot be told apart and stay."""
-    rejected = rejected.select(F.col("doc_id").alias("rejected_id")).where("rejected_id is not null").distinct()
-    return docs.join(rejected, docs["doc_id"] == F.col("rejected_id"), "left_anti")
+    """`docs` less the rows whose key is in `rejected` (doc_id)."""
+    rejected = rejected.select(F.col("doc_id").alias("rejected")).distinct()
+    return docs.join(rejected, _row("rejected"), "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +46,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts of similarity 0.8 or more: that with the smallest doc_id."""
-    found = near_dedup.near_duplicates(docs, percent=80)
-    return _without(docs, found.where("not kept").select("doc_id"))
+    """One document of each component of texts of similarity 0.8 or more: that with the smallest doc_id, one without an id only if none has one; of repeated rows one."""
+    found = near_dedup.near_duplicates(_keyed(docs), percent=80)
+    kept = _without(docs, found.where("not kept"))
+    again = saved(found.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again"), "again")
+    if not again.limit(1).count():
+        return kept
+    return kept.join(again, _row("again"), "left_anti").unionByName(kept.join(again, _row("again"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return _without(docs, decontaminate.contaminated(_keyed(docs), table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +79,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = saved(docs, name)
+            if k:
+                dropped(before)  # its successor is a table of its own
     return docs
