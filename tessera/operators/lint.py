@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import month_index
 from tessera.functions.similarity import at_least
 from tessera.functions.text import first_person, first_word, normalize, present_tense, squeezed, tech_tokens, weak_start
+from tessera.operators.findings import together
 
 # Limits.
 BULLET, SUMMARY, SKILLS, REPEATS, DUPLICATE = 220, 420, 35, 3, 90
@@ -62,31 +62,33 @@ def row_warnings(resume: Column, listed: str = "bullets") -> Column:
     )
 
 
+def alike(bullets: list[dict]) -> Iterator[tuple[str, str, str, str]]:
+    """Pairs of alike texts among normalized `bullets` (location, text): sorted by length, a text meets only those of lengths that allow it."""
+    texts = sorted((len(b["text"]), k) for k, b in enumerate(bullets))
+    pairs = []
+    for x, (size, k) in enumerate(texts):
+        for longer, j in texts[x + 1 :]:
+            if 200 * size < DUPLICATE * (size + longer):
+                break
+            if at_least(bullets[k]["text"], bullets[j]["text"], DUPLICATE):
+                pairs.append(tuple(sorted((k, j))))
+    for k, j in sorted(pairs):
+        yield "duplicate-bullet", "warn", f"{bullets[k]['location']} and {bullets[j]['location']}", "near-duplicate"
+
+
+def _normalized(bullets: Column) -> Column:
+    return F.transform(bullets, lambda b: F.struct(b["location"].alias("location"), normalize(b["text"]).alias("text")))
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, name, location, detail) of pairs of alike texts in `docs` (doc_id, bullets): sorted by length, a text meets only those of lengths that allow it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                texts = sorted((len(b["text"]), k) for k, b in enumerate(own))
-                pairs = []
-                for x, (size, k) in enumerate(texts):
-                    for longer, j in texts[x + 1 :]:
-                        if 200 * size < DUPLICATE * (size + longer):
-                            break
-                        if at_least(own[k]["text"], own[j]["text"], DUPLICATE):
-                            pairs.append(tuple(sorted((k, j))))
-                rows += [(doc, "duplicate-bullet", f"{own[k]['location']} and {own[j]['location']}", "near-duplicate") for k, j in sorted(pairs)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], ["doc_id", "name", "location", "detail"])
-
-    plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.transform("bullets", lambda b: F.struct(b["location"].alias("location"), normalize(b["text"]).alias("text"))).alias("bullets"))
-    return plain.mapInArrow(run, "doc_id string, name string, location string, detail string")
+    """(doc_id, name, location, detail) of pairs of alike texts in `docs` (doc_id, bullets)."""
+    plain = docs.select("doc_id", _normalized(F.col("bullets")).alias("bullets"))
+    return together(plain, F.lit(None), ["bullets"], lambda row: alike(row["bullets"])).drop("status")
 
 
 def linted(docs: DataFrame) -> DataFrame:
     """(doc_id, stage, name, status, location, detail) of the warnings for `docs` (doc_id, resume)."""
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "resume", bullets(F.col("resume")).alias("bullets"))
-    found = docs.select("doc_id", F.inline(row_warnings(F.col("resume")))).unionByName(duplicates(docs))
-    return found.select("doc_id", F.lit("lint").alias("stage"), "name", F.lit("warn").alias("status"), "location", "detail")
+    docs = docs.select("doc_id", "resume", bullets(F.col("resume")).alias("bullets"))
+    warned = F.transform(row_warnings(F.col("resume")), lambda w: F.struct(w["name"].alias("name"), F.lit("warn").alias("status"), w["location"].alias("location"), w["detail"].alias("detail")))
+    found = together(docs.select("doc_id", warned.alias("warned"), _normalized(F.col("bullets")).alias("bullets")), F.col("warned"), ["bullets"], lambda row: alike(row["bullets"]))
+    return found.select("doc_id", F.lit("lint").alias("stage"), "name", "status", "location", "detail")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.config import STANDARD_HEADINGS, Config
 from tessera.functions.similarity import best_window
 from tessera.functions.text import EMAIL, PHONE, PROPER_NOUN, display_url, glyphs, normalize, tech_tokens
+from tessera.operators.findings import together
 from tessera.operators.verify import MATCH, normalized
 
 #: Python's line ends, which are more than \R has.
@@ -97,11 +98,17 @@ def checked(docs: DataFrame, config: Config | None = None) -> DataFrame:
     """(doc_id, stage, name, status, location, detail) of all checks for `docs` (doc_id, resume, headings, expected, text)."""
     config = config or Config()
     text, resume = F.col("text"), F.col("resume")
-    finding = lambda name, status, details: F.transform(details, lambda d: F.struct(F.lit(name).alias("name"), F.lit(status).alias("status"), d.alias("detail")))
+    finding = lambda name, status, details: F.transform(details, lambda d: F.struct(F.lit(name).alias("name"), F.lit(status).alias("status"), F.lit(None).cast("string").alias("location"), d.alias("detail")))
     signs = glyphs(text)
     glyph = F.concat(F.transform(signs["ligatures"], lambda c: F.concat(F.lit("ligature "), c)), F.transform(signs["private_use"], lambda c: F.concat(F.lit("private-use "), c)), F.array_compact(F.array(F.when(signs["replacement"], "replacement character"), F.when(signs["broken_words"], "word broken at a line end"))))
     name = F.array_compact(F.array(F.when(name_missing(resume["basics"]["name"], text), resume["basics"]["name"])))
     stacked = stacked_roles(resume["experience"]) if config.group_roles else F.array().cast("array<string>")
-    rows = docs.select("doc_id", F.inline(F.concat(finding("Name", "fail", name), finding("Contact", "fail", contacts_missing(resume["basics"], text)), finding("Stacked roles", "warn", stacked), finding("Glyphs", "fail", glyph), finding("Headings", "warn", odd_headings(F.col("headings"))))))
-    order = content_order(docs).select("doc_id", F.lit("Content and order").alias("name"), F.lit("fail").alias("status"), F.concat_ws(": ", "problem", "text").alias("detail"))
-    return rows.unionByName(order).select("doc_id", F.lit("check").alias("stage"), "name", "status", F.lit(None).cast("string").alias("location"), "detail")
+    found = F.concat(finding("Name", "fail", name), finding("Contact", "fail", contacts_missing(resume["basics"], text)), finding("Stacked roles", "warn", stacked), finding("Glyphs", "fail", glyph), finding("Headings", "warn", odd_headings(F.col("headings"))))
+    rows = together(docs, found, ["expected", "text"], _order_findings)
+    return rows.select("doc_id", F.lit("check").alias("stage"), "name", "status", "location", "detail")
+
+
+def _order_findings(row: dict) -> Iterator[tuple[str, str, None, str]]:
+    expected = [x or "" for x in row["expected"] or []]
+    for k, problem in placed([normalized(x) for x in expected], normalized(row["text"] or "")):
+        yield "Content and order", "fail", None, f"{problem}: {expected[k]}"

@@ -371,7 +371,8 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     basics = F.struct(line("said").alias("name"), F.substring("said", 1, 60).alias("headline"), F.array(F.struct(url.alias("url"))).alias("links"))
     resume = _record(meta=F.struct(F.create_map(F.lit("summary"), line("said")).alias("headings")), basics=basics, summary=F.col("said"), experience=F.array(job))
     links = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit("x").alias("text"), url.alias("url")))).otherwise(F.array().cast("array<struct<text:string,url:string>>"))
-    return docs.join(said, "doc_id").select("doc_id", lines.alias("blocks"), links.alias("links"), resume.alias("resume"))
+    made = docs.join(said, "doc_id").select("doc_id", lines.alias("blocks"), links.alias("links"), resume.alias("resume"))
+    return made.mapInArrow(lambda batches: batches, made.schema)  # records come from a pass of their own, as those of `extract` do, and are not made anew for each use
 
 
 _PAIRED = """p AS (SELECT a.doc_id, a.text, b.text AS said, a.lang, a.source, 'http://www.x.org/' || a.doc_id || '/' AS url FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL),
@@ -417,9 +418,15 @@ def sections_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 # documents through sources, records, checks and renderings
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than the cluster has cores, dealt evenly over them; a larger one stays as it is read."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
 def _pages(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("path"), F.col("html").alias("text"))
-    return load.parsed(pages, config)
+    return load.parsed(_spread(pages), config)
 
 
 #: Advertisements are the only class of the pages.
