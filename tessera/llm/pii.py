@@ -275,8 +275,8 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], ["surrogate", "entity"])
 
     pairs = docs.select("text").mapInArrow(run, "surrogate string, entity string").distinct()
-    named = pairs.select("surrogate", F.lit(1).alias("n"), F.lit(False).alias("own")).unionByName(pairs.select(F.col("entity").alias("surrogate"), F.lit(0).alias("n"), F.lit(True).alias("own")).distinct())
-    met = named.groupBy("surrogate").agg(F.sum("n").alias("n_entities"), F.bool_or("own").alias("is_entity"))
+    made, own = F.struct("surrogate", F.lit(1).alias("n"), F.lit(False).alias("own")), F.struct(F.col("entity").alias("surrogate"), F.lit(0).alias("n"), F.lit(True).alias("own"))
+    met = pairs.select(F.inline(F.array(made, own))).groupBy("surrogate").agg(F.sum("n").alias("n_entities"), F.bool_or("own").alias("is_entity"))
     return met.where("n_entities > 1 or (n_entities = 1 and is_entity)")
 
 

@@ -26,7 +26,7 @@ def spread(text: str, most: int, parts: int = 10) -> Column:
     """A text column, where it has over `most` characters as `parts` stretches of most / parts characters, evenly spread from beginning to end; for samples to learn from."""
     size, piece = F.length(text), most // parts
     cut = (F.substr(text, (F.floor((size - piece) * F.lit(k) / (parts - 1)) + 1).cast("int"), F.lit(piece)) for k in range(parts))
-    return F.when(size <= most, F.col(text)).otherwise(F.concat_ws("\n", *cut))
+    return F.when(size > most, F.concat_ws("\n", *cut)).otherwise(F.col(text))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -601,6 +601,33 @@ def test_quality_model(spark, empty):
     assert {r.score for r in quality_model.scored(frame, labels.limit(0)).collect()} == {0.5}
 
 
+def test_scores_match_a_plain_forward_pass():
+    net, q = quality_model.Network.new(9), quality_model
+    net.out[:] = np.random.default_rng(2).standard_normal(len(net.out))
+    texts = [b"", b"a", b"abcd" * 31, b"x" * 128, bytes(range(256)) * 3, b"the quick brown fox " * 40]
+    got = net(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for text, score in zip(texts, got, strict=True):
+        n = -(-(len(text) + q.STRIDE) // q.BLOCK) * q.BLOCK
+        padded = list(text) + [0] * (n + q.WIDTH - len(text))
+        outputs = [np.maximum(sum(net.embed[padded[at + k]] @ net.filters[k * q.DIMENSIONS : (k + 1) * q.DIMENSIONS] for k in range(q.WIDTH)) + net.bias, 0) for at in range(0, n, q.STRIDE)]
+        outputs[-1] = np.zeros(q.FILTERS)  # it has no byte of the text
+        per = q.BLOCK // q.STRIDE
+        blocks = [np.max(outputs[k : k + per], axis=0) for k in range(0, len(outputs), per)]
+        chunks = [np.maximum(a, b) for a, b in itertools.pairwise(blocks)] or blocks
+        features = np.concatenate([np.mean(chunks, axis=0), np.max(blocks, axis=0), [1]])
+        assert score == pytest.approx(1 / (1 + math.exp(-float(features @ net.out))), abs=1e-4)
+
+
+def test_long_labelled_texts_are_learned_from_their_whole_length(spark):
+    frame = spark.createDataFrame([("abc",), ("".join(f"{k:05d}" for k in range(2000)),), (None,), ("",)], "text string")
+    short, long, none, empty = (r[0] for r in frame.select(textbytes.spread("text", 100)).collect())
+    assert (short, none, empty) == ("abc", None, "")
+    parts = long.split("\n")
+    assert [len(x) for x in parts] == [10] * 10
+    assert parts[0] == "0000000001"
+    assert parts[-1] == "0199801999"
+
+
 def test_scores_do_not_depend_on_neighbours():
     net = quality_model.Network.new(5)
     texts = [b"", b"abc", b"x" * 128, b"hello world " * 60]
@@ -796,6 +823,40 @@ def test_the_finer_sketch_keeps_pairs_at_the_threshold():
     assert lost == 0
 
 
+def test_predictions_match_a_plain_cross_parse(spark):
+    """Language, held_out and score of the query's own path against phrases counted one by one."""
+    rng = random.Random(6)
+    say = {"en": ["the", "and", "of", "with", "house"], "fr": ["le", "est", "que", "été", "maison"], "de": ["der", "und", "nicht", "schön", "haus"]}
+    rows = [(k, " ".join(rng.choices(say[x], k=rng.randint(1, 40))), x) for k, x in enumerate(["en", "fr", "de"] * 12)]
+    rows += [(100, "zzz 12 qqq", None), (101, "the le der " * 9, None), (102, None, "en"), (103, "12", "fr"), (None, "und nicht", None), (104, "Été, SCHÖN! " * 200, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = language.learned(frame)
+    used = {language.SYMBOL[b] for t in texts.values() for b in t}
+    plain = lambda raw: "".join(chr(1 + int(language.SYMBOL[b])) if language.SYMBOL[b] in used else "\x00" for b in raw)
+    known = {x: plain(t) for x, t in texts.items()}
+
+    def phrases(text, model):
+        n = 0
+        for a in range(0, len(text), language.STRETCH):
+            left = text[a : a + language.STRETCH]
+            while left:
+                k = 1
+                while k < len(left) and left[: k + 1] in model and left[:k] in model:
+                    k += 1
+                n, left = n + 1, left[k:]
+        return n
+
+    want = []
+    for i, text, _ in rows:
+        own = plain((text or "").lower().encode())
+        bits = {x: phrases(own, m) * math.log2(len(texts[x]) + 1) for x, m in sorted(known.items())}
+        best = min(bits, key=bits.get)
+        letter = any(c.isalpha() for c in text or "")
+        want.append((str(i), fold(i, 4) == 2, best if letter else "und", round(1 / sum(2.0 ** max(bits[best] - b, -1000) for b in bits.values()) if letter else 0.0, 6)))
+    got = [(str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 6)) for r in language.identified(frame).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_every_labelled_language_is_learned(spark):
     rows = [(k, f"word{'abcdefghij'[k % 10]} {k}", f"l{k % 150}") for k in range(900)] + [(1000 + k, "livre long " * 4000, "long") for k in range(8)]
     assert set(language.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == {*(f"l{k}" for k in range(150)), "long"}
