@@ -28,6 +28,8 @@ CLASSES = 4
 END = 255
 #: Bytes and documents of a block; bytes of input for a bucket of words, and for one of contexts; parts in which a block's contexts are packed.
 BLOCK_BYTES, BLOCK_DOCS, BUCKET_BYTES, CONTEXT_BYTES, PARTS = 4 << 20, 65_000, 256 << 20, 16 << 20, 8
+#: From this size on, the optimizer's estimate is none, and the texts are measured.
+ESTIMATED = 1 << 50
 #: Different codes that a task holds before it sends their counts.
 HELD_CODES = 2_000_000
 #: Codes whose subtrees a task weights at once, about.
@@ -311,8 +313,10 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     docs = docs.select("doc_id", "text", F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.coalesce(fold != held, F.lit(False)).alias("trained"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = int(min(100_000, max(32, size // BUCKET_BYTES)))
-    branches = int(min(100_000, max(32, size // CONTEXT_BYTES)))
+    if size >= ESTIMATED:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(32, size // BUCKET_BYTES)
+    branches = max(32, size // CONTEXT_BYTES)
     near = 2 + (branches > 64) + (branches > 1024)  # more buckets need smaller subtrees
     above = spark.sparkContext.broadcast(upper_levels(docs.select("text", "trained"), near, branches))
     lists = _LISTS.format(kind)
