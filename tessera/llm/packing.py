@@ -74,15 +74,14 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[int, int] = {}
+        self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes, and the place of each in the store
         self.pool, self.filled = np.array([END_ID], np.uint32), 1
         self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)  # place 0: the end of a document
 
-    def learn(self, texts: list[str], hashes: list[int]) -> None:
+    def learn(self, texts: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.at) + 1
-        self.at.update(zip(hashes, range(first, first + len(ids)), strict=True))
+        first = len(self.known) + 1
         self.start, self.length = (_grown(x, first + len(ids)) for x in (self.start, self.length))
         self.pool = _grown(self.pool, self.filled + int(lengths.sum()))
         self.start[first : first + len(ids)] = self.filled + np.cumsum(lengths) - lengths
@@ -95,14 +94,21 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         hashes = span_hashes(data, starts, ends)
         first, which = representatives(hashes)
-        if len(self.at) + len(first) > MAX_WORDS:
+        if len(self.known) + len(first) > MAX_WORDS:
             self.forget()
-        distinct = hashes[first].tolist()
-        new = [k for k, h in enumerate(distinct) if h not in self.at]
-        if new:
+        order = np.argsort(hashes[first])
+        first, distinct = first[order], hashes[first[order]]
+        spot = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero(np.searchsorted(self.known, distinct, "right") == spot)
+        if len(new):
             raw = data.tobytes()
-            self.learn([raw[starts[first[k]] : ends[first[k]]].decode() for k in new], [distinct[k] for k in new])
-        return np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[which]
+            self.learn([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.where = np.insert(self.where, spot[new], len(self.known) + 1 + np.arange(len(new)))
+            self.known = np.insert(self.known, spot[new], distinct[new])
+            spot = np.searchsorted(self.known, distinct)
+        place = np.empty(len(first), np.int64)
+        place[order] = self.where[spot]
+        return place[which]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by END_ID; where each text's ids begin, and their end)."""
