@@ -244,7 +244,7 @@ def upper_levels(texts: DataFrame, near: int, buckets: int) -> list[tuple[np.nda
         yield from flush()
 
     def weigh(group: pa.Table) -> pa.Table:
-        code, n = _merged([_coded(x.as_py()) for x in group.column("blob")])[:2]
+        code, n = _totals(_coded(x.as_buffer()) for x in group.column("blob"))
         nodes = subtrees(code, n, near)
         return pa.table([pa.array(np.repeat(np.arange(8), [len(x[0]) for x in nodes]), pa.int32()), pa.array(np.concatenate([x[0] for x in nodes]).view(np.int64)), *(pa.array(np.concatenate([x[1][:, b] for x in nodes])) for b in (0, 1)), pa.array(np.concatenate([x[2] for x in nodes]))], names=["k", "key", "zeros", "ones", "total"])
 
@@ -259,6 +259,17 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray
     return distinct, np.bincount(which, weights=np.concatenate([x[1] for x in parts]), minlength=len(distinct)), which.astype(np.int32)
 
 
+def _totals(parts: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(different hashes, how often each was trained on) of parts (hashes, counts, ...), few of which are held at once."""
+    known, held, size = (np.zeros(0, np.uint64), np.zeros(0)), [], 0
+    for part in parts:
+        held.append(part[:2])
+        size += len(part[0])
+        if size > max(HELD_CODES, len(known[0])):
+            known, held, size = _merged([known, *held])[:2], [], 0
+    return _merged([known, *held])[:2]
+
+
 def _packed(block: list[tuple[np.ndarray, np.ndarray]], held: np.ndarray, buckets: int, factor: np.uint64 = np.uint64(1), home=lambda h, buckets: h % np.uint64(buckets)) -> Iterator[tuple[int, bytes]]:
     """For each bucket the block's different words (or codes) there: hash times `factor`, and (document, count) pairs; and which documents are not trained on."""
     words = np.concatenate([w for w, _ in block])
@@ -377,14 +388,13 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         if group.column("blob")[0].as_py() is None:  # a block's own row
             own = group.select(["block", *(x.split()[0] for x in lists.split(", "))])
             return own.append_column("sums", pa.nulls(len(own), pa.binary())).append_column("tokens", pa.nulls(len(own), pa.int64())).append_column("kinds", pa.nulls(len(own), pa.int64())).append_column("deep", pa.array([False] * len(own))).select(names)
-        blobs = [x.as_py() for x in group.column("blob")]
-        distinct, count, which = _merged([_unpacked(x)[:2] for x in blobs])
+        blobs = [x.as_buffer() for x in group.column("blob")]
+        distinct, count = _totals(map(_unpacked, blobs))
         deep = group.column("bucket")[0].as_py() >= buckets
         logs, known = code_logs(distinct, count, near, above.value) if deep else np.log10(count + 1), count > 0
-        out, at = [], 0
+        out = []
         for hashes, _, pairs, doc, times in map(_unpacked, blobs):
-            token = np.repeat(which[at : at + len(hashes)], pairs)
-            at += len(hashes)
+            token = np.repeat(np.searchsorted(distinct, hashes), pairs)
             docs_, place = np.unique(doc, return_inverse=True)
             total = np.bincount(place, weights=logs[token] * times)
             seen = np.bincount(place, weights=known[token] * times).astype(np.uint32)
