@@ -2,8 +2,8 @@
 
 How it scales: neither the tree nor the unigram counts are ever gathered. Blocks of documents send each of their different words, and each different byte with the
 DEPTH bytes before it, once to a bucket, where counts of all blocks meet; buckets grow in number with the input. A bucket of contexts holds whole subtrees, those
-below the nearest `near` bytes. It weights them from the leaves up; the few levels above them are weighted on the driver and come back, and the bucket then sends
-each block the sums for its documents.
+below the nearest `near` bytes. It weights them from the leaves up; the few levels above them are weighted on the driver and come back, and the bucket then has
+the sums for each block's documents. A task adds up those of all its buckets before it sends them: there are more buckets than tasks, and few documents miss one.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import saved
+from tessera.llm.store import saved, shuffles_freed
 from tessera.llm.textbytes import LOWER, mix, representatives, slices, span_hashes, spans
 
 #: Bytes of context. Eight of them and the symbol's node would not fit into 64 bits.
@@ -27,7 +28,9 @@ CLASSES = 4
 #: The symbol after the last byte of a text: 255, which is no byte of UTF-8.
 END = 255
 #: Bytes and documents of a block; bytes of input for a bucket of words, and for one of contexts; parts in which a block's contexts are packed.
-BLOCK_BYTES, BLOCK_DOCS, BUCKET_BYTES, CONTEXT_BYTES, PARTS = 4 << 20, 65_000, 256 << 20, 16 << 20, 8
+BLOCK_BYTES, BLOCK_DOCS, BUCKET_BYTES, CONTEXT_BYTES, PARTS = 8 << 20, 65_000, 256 << 20, 16 << 20, 16
+#: Tasks that buckets are dealt to, at least, and buckets of contexts for each of more; sums of documents that a task holds before it sends them.
+TASKS, TASK_BUCKETS, HELD_SUMS = 64, 32, 16_000_000
 #: From this size on, the optimizer's estimate is none, and the texts are measured.
 ESTIMATED = 1 << 50
 #: Different codes that a task holds before it sends their counts.
@@ -49,21 +52,22 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(context * 256 + symbol for each byte of each text and its end, where each text begins there). The last byte is the highest digit of the context."""
     symbols = np.insert(data, offsets[1:], END)
     begins = offsets[:-1] + np.arange(len(offsets) - 1)
-    place = np.arange(len(symbols)) - np.repeat(begins, np.diff(offsets) + 1)
-    code = symbols.astype(np.uint64)
-    for back in range(1, DEPTH + 1):
-        one = symbols[:-back].astype(np.uint64) * (place[back:] >= back)
-        code[back:] |= one << np.uint64(8 * (DEPTH - back) + 8)
+    past = np.append(np.zeros(DEPTH + 1, np.uint8), symbols)
+    code = np.ndarray(len(symbols), "<u8", past, 0, (1,)) & np.uint64((1 << 8 * DEPTH) - 1 << 8) | symbols  # the eight bytes up to each symbol
+    for place in range(DEPTH):  # what precedes a text there is none of it
+        first = begins[np.diff(offsets) >= place] + place
+        code[first] &= np.uint64(255 | (1 << 8 * place) - 1 << 8 * (DEPTH - place) + 8)
     return code, begins
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
     """log Gamma for x > 0: Stirling's series from x + 8."""
-    small = np.zeros_like(x)
-    for k in range(8):
-        small += np.log(x + k)
+    small = x.copy()
+    for k in range(1, 8):
+        small *= x + k
     z = x + 8
-    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - small
+    w = 1 / (z * z)
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + (1 / 12 - (1 / 360 - w / 1260) * w) / z - np.log(small)
 
 
 def log_kt(n: np.ndarray) -> np.ndarray:
@@ -82,11 +86,17 @@ def weighted(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def leaves(code: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the k-th bit of the symbols: sorted keys (the bits before it, then the context), counts[..., 2] of that bit at each, and for each code its key's place and its bit."""
-    symbol = code & np.uint64(255)
-    key = symbol >> np.uint64(8 - k) << np.uint64(8 * DEPTH) | code >> np.uint64(8)
-    bit = (symbol >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
-    keys, place = np.unique(key, return_inverse=True)
+    """For the k-th bit of the symbols of ascending codes: sorted keys (the bits before it, then the context), counts[..., 2] of that bit at each, and for each code its key's place and its bit."""
+    upto = code >> np.uint64(8 - k)
+    new = np.append(True, upto[1:] != upto[:-1])
+    one = code[new]
+    bits = ((one & np.uint64(255)) >> np.uint64(8 - k)).astype(np.uint8)
+    order = np.argsort(bits, kind="stable")  # contexts ascend already
+    keys = (bits.astype(np.uint64) << np.uint64(8 * DEPTH) | one >> np.uint64(8))[order]
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    place = rank[np.cumsum(new) - 1]
+    bit = (code >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
     return keys, np.bincount(2 * place + bit, weights=n, minlength=2 * len(keys)).reshape(-1, 2), place, bit
 
 
@@ -166,7 +176,10 @@ def tree_table(counts: np.ndarray) -> np.ndarray:
         context = context << np.uint64(8) | row % np.uint64(CLASSES)
         row //= np.uint64(CLASSES)
     code = (context[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)).ravel()
-    return code_logs(code, counts.ravel(), 0, upper(subtrees(code, counts.ravel(), 0), 0)).reshape(counts.shape)
+    order = np.argsort(code)
+    code, n, out = code[order], counts.ravel()[order], np.empty(len(code))
+    out[order] = code_logs(code, n, 0, upper(subtrees(code, n, 0), 0))
+    return out.reshape(counts.shape)
 
 
 def _planes(*arrays: np.ndarray) -> bytes:
@@ -248,7 +261,8 @@ def upper_levels(texts: DataFrame, near: int, buckets: int) -> list[tuple[np.nda
         nodes = subtrees(code, n, near)
         return pa.table([pa.array(np.repeat(np.arange(8), [len(x[0]) for x in nodes]), pa.int32()), pa.array(np.concatenate([x[0] for x in nodes]).view(np.int64)), *(pa.array(np.concatenate([x[1][:, b] for x in nodes])) for b in (0, 1)), pa.array(np.concatenate([x[2] for x in nodes]))], names=["k", "key", "zeros", "ones", "total"])
 
-    found = texts.mapInArrow(run, "bucket long, blob binary").groupBy("bucket").applyInArrow(weigh, "k int, key long, zeros double, ones double, total double").toArrow()
+    with shuffles_freed(texts.sparkSession):
+        found = texts.mapInArrow(run, "bucket long, blob binary").groupBy("bucket").applyInArrow(weigh, "k int, key long, zeros double, ones double, total double").toArrow()
     k, key, zeros, ones, total = (x.to_numpy() for x in found.columns)
     return upper([(key[k == j].view(np.uint64), np.stack([zeros[k == j], ones[k == j]], axis=1), total[k == j]) for j in range(8)], near) if len(k) else []
 
@@ -270,8 +284,15 @@ def _totals(parts: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.nda
     return _merged([known, *held])[:2]
 
 
-def _packed(block: list[tuple[np.ndarray, np.ndarray]], held: np.ndarray, buckets: int, factor: np.uint64 = np.uint64(1), home=lambda h, buckets: h % np.uint64(buckets)) -> Iterator[tuple[int, bytes]]:
-    """For each bucket the block's different words (or codes) there: hash times `factor`, and (document, count) pairs; and which documents are not trained on."""
+def alike(counts: np.ndarray, trained: np.ndarray) -> np.ndarray:
+    """An order of documents by the main direction in which their symbols[document, class] differ, those trained on first. What like documents share is then listed in short steps."""
+    share = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
+    share -= share.mean(0)
+    return np.lexsort((share @ np.linalg.eigh(share.T @ share)[1][:, -1], ~trained))
+
+
+def _packed(block: list[tuple[np.ndarray, np.ndarray]], docs: int, trained: int, buckets: int, factor: np.uint64 = np.uint64(1), home=lambda h, buckets: h % np.uint64(buckets)) -> Iterator[tuple[int, bytes]]:
+    """For each bucket the block's different words (or codes) there: hash times `factor`, and (document, count) pairs; of `docs` documents the first `trained` are trained on."""
     words = np.concatenate([w for w, _ in block])
     doc = np.concatenate([d for _, d in block])
     first, token = representatives(words)
@@ -281,32 +302,74 @@ def _packed(block: list[tuple[np.ndarray, np.ndarray]], held: np.ndarray, bucket
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     hashes = hashes[order]
-    pair, times = np.unique(rank[token] * len(held) + doc, return_counts=True)
-    token, doc = np.divmod(pair, len(held))
+    pair, times = np.unique(rank[token] * docs + doc, return_counts=True)
+    token, doc = np.divmod(pair, docs)
     bounds = np.searchsorted(token, np.arange(len(hashes) + 1))
     edges = np.searchsorted(place[order], np.arange(buckets + 1, dtype=np.uint64))
     for b in np.flatnonzero(np.diff(edges)):
         x, y = edges[b], edges[b + 1]
         u, v = bounds[x], bounds[y]
         wide = np.dtype("u1" if times[u:v].max() < 256 else "u4")
-        head = np.array([y - x, v - u, wide.itemsize, len(held)], np.int64)
+        head = np.array([y - x, v - u, wide.itemsize, trained], np.uint32)
         near = np.diff(doc[u:v], prepend=0)  # from one document of a word to the next
         near[bounds[x:y] - u] = doc[bounds[x:y]]
-        yield int(b), head.tobytes() + np.packbits(held).tobytes() + _planes(_steps(hashes[x:y]), np.diff(bounds[x : y + 1]).astype(np.uint32), near.astype(np.uint16), times[u:v].astype(wide))
+        yield int(b), head.tobytes() + _planes(_steps(hashes[x:y]), np.diff(bounds[x : y + 1]).astype(np.uint32), near.astype(np.uint16), times[u:v].astype(wide))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, m, wide, docs = np.frombuffer(blob, np.int64, 4).tolist()
-    at = 32 + -(-docs // 8)
-    held = np.unpackbits(np.frombuffer(blob, np.uint8, at - 32, 32), count=docs).astype(bool)
-    hashes, pairs, near, times = _unplaned(blob[at:], (np.uint64, n), (np.uint32, n), (np.uint16, m), (f"u{wide}", m))
+    n, m, wide, trained = np.frombuffer(blob, np.uint32, 4).tolist()
+    hashes, pairs, near, times = _unplaned(blob[16:], (np.uint64, n), (np.uint32, n), (np.uint16, m), (f"u{wide}", m))
     total, first = np.cumsum(near, dtype=np.int64), np.cumsum(pairs, dtype=np.int64) - pairs
     doc = total - np.repeat(total[first] - near[first], pairs)
     doc = doc.astype(np.uint16)
-    train = np.add.reduceat(times * ~held[doc], first, dtype=np.int64).astype(np.uint32)
+    train = np.add.reduceat(times * (doc < trained), first, dtype=np.int64).astype(np.uint32)
     return np.cumsum(hashes, dtype=np.uint64), train, pairs, doc, times
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each bucket, from batches whose first column is the bucket, in order of it."""
+    held, last = [], None
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.diff(key)) + 1
+        for a, b in zip([0, *edges], [*edges, len(key)], strict=True) if len(key) else ():
+            if held and key[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, ..., sums, ..., deep) of a task, the deep ones of a block added up to one; others as they come. What is sent for contexts so follows the tasks, not the buckets."""
+    held, size, last = {}, 0, None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal held, size
+        for block, sums in held.items():
+            one = {"block": block, "sums": _planes(sums), "tokens": 0, "kinds": 0, "deep": True}
+            yield pa.RecordBatch.from_arrays([pa.array([one.get(f.name)], f.type) for f in last], schema=last)
+        held, size = {}, 0
+
+    for batch in batches:
+        last, deep = batch.schema, batch.column("deep")
+        yield batch.filter(pc.invert(deep))
+        own = batch.filter(deep)
+        for block, blob in zip(own.column("block").to_pylist(), own.column("sums"), strict=True):
+            blob = blob.as_buffer()
+            n = len(blob) // 10
+            doc, sums = np.frombuffer(blob, np.uint16, n, 8 * n), held.get(block, np.zeros(0))
+            if len(sums) <= doc[-1]:
+                size += int(doc[-1]) + 1 - len(sums)
+                held[block] = sums = np.append(sums, np.zeros(doc[-1] + 1 - len(sums)))
+            sums[doc] += np.frombuffer(blob, float, n)
+        if size > HELD_SUMS:
+            yield from flush()
+    yield from flush()
+
+
 #: What each document has beside its sums.
 _LISTS = "doc_id array<{}>, held_out array<boolean>, n_tokens array<long>, n_bytes array<long>"
 
@@ -325,7 +388,8 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     docs = docs.select("doc_id", "text", F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.coalesce(fold != held, F.lit(False)).alias("trained"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= ESTIMATED:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        with shuffles_freed(spark):
+            size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, size // BUCKET_BYTES)
     branches = max(32, size // CONTEXT_BYTES)
     near = 2 + (branches > 64) + (branches > 1024)  # more buckets need smaller subtrees
@@ -335,30 +399,29 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        words, contexts, ids, flags, trained, totals, sizes, held_bytes = [], [], [], [], [], [], [], 0
+        words, contexts, ids, flags, trained, totals, sizes, symbols, held_bytes = [], [], [], [], [], [], [], [], 0
 
-        def branch(k: int, held: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        def branch(k: int, rank: np.ndarray, learned: int) -> Iterator[tuple[int, bytes]]:
             """A part of the block's contexts: every PARTS-th bucket."""
-            own = []
-            for code, doc, part in contexts:
-                mine = np.flatnonzero(part == k)
-                own.append((code[mine] * _SPREAD, doc[mine].astype(np.int64)))
+            own = [(code[edges[k] : edges[k + 1]] * _SPREAD, rank[doc[edges[k] : edges[k + 1]]]) for code, doc, edges in contexts]
             if sum(len(x) for x, _ in own):
-                yield from _packed(own, held, branches, _GATHER, lambda code, n: homes(code, near, n))
+                yield from _packed(own, len(rank), learned, branches, _GATHER, lambda code, n: homes(code, near, n))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, words, contexts, ids, flags, trained, totals, sizes, held_bytes
+            nonlocal number, words, contexts, ids, flags, trained, totals, sizes, symbols, held_bytes
             if not totals:
                 return
-            per = np.concatenate(totals)
-            own = pa.concat_arrays(ids)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x) for x in (own, pa.concat_arrays(flags), pa.array(per), pa.array(np.concatenate(sizes)))]
+            learn = np.concatenate(trained)
+            order = alike(np.concatenate(symbols), learn)
+            rank, learned = np.empty_like(order), int(learn.sum())
+            rank[order] = np.arange(len(order))
+            own = [x.take(pa.array(order)) for x in (pa.concat_arrays(ids), pa.concat_arrays(flags), pa.array(np.concatenate(totals)), pa.array(np.concatenate(sizes)))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), x) for x in own]
             yield pa.RecordBatch.from_arrays([pa.array([-1 - number]), pa.array([number]), pa.array([None], pa.binary()), *lists], names)
-            held = ~np.concatenate(trained)
-            for b, blob in itertools.chain(_packed(words, held, buckets), ((buckets + b, blob) for k in range(PARTS) for b, blob in branch(k, held))):
+            for b, blob in itertools.chain(_packed([(w, rank[d]) for w, d in words], len(rank), learned, buckets), ((buckets + b, blob) for k in range(PARTS) for b, blob in branch(k, rank, learned))):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([number]), pa.array([blob], pa.binary()), *(pa.nulls(1, x.type) for x in lists)], names)
             number += 1
-            words, contexts, ids, flags, trained, totals, sizes, held_bytes = [], [], [], [], [], [], [], 0
+            words, contexts, ids, flags, trained, totals, sizes, symbols, held_bytes = [], [], [], [], [], [], [], [], 0
 
         names, count = [x.split()[0] for x in schema.split(", ")], 0
         for batch in batches:
@@ -375,7 +438,11 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
                     own = np.diff(firsts)
                     words.append((np.append(span_hashes(low, starts, ends), np.full(rows, END_TOKEN)), count + np.append(np.repeat(np.arange(rows), own), np.arange(rows))))
                     code = codes(low, part)[0]
-                    contexts.append((code, np.repeat((count + np.arange(rows)).astype(np.uint16), np.diff(part) + 1), (homes(code, near, branches) % np.uint64(PARTS)).astype(np.uint8)))
+                    share = (homes(code, near, branches) % np.uint64(PARTS)).astype(np.uint8)
+                    order = np.argsort(share, kind="stable")
+                    doc = np.repeat((count + np.arange(rows)).astype(np.uint16), np.diff(part) + 1)
+                    contexts.append((code[order], doc[order], np.searchsorted(share[order], np.arange(PARTS + 1))))
+                    symbols.append(np.bincount(np.repeat(np.arange(rows) * 64, np.diff(part)) + low % 64, minlength=64 * rows).reshape(rows, 64).astype(np.float32))
                     totals.append(own + 1)
                     sizes.append(np.diff(part))
                     ids.append(batch.column(0).slice(c, rows))
@@ -398,34 +465,40 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             docs_, place = np.unique(doc, return_inverse=True)
             total = np.bincount(place, weights=logs[token] * times)
             seen = np.bincount(place, weights=known[token] * times).astype(np.uint32)
-            out.append(b"".join(x.tobytes() for x in ((total, docs_) if deep else (total, seen, docs_))))
+            out.append(total.tobytes() + docs_.tobytes() if deep else _planes(total, seen, _steps(docs_)))
         n = len(blobs)
         own = [pa.array([0 if deep else int(x.sum())] + [0] * (n - 1)) for x in (count, known)] + [pa.array([deep] * n)]
         return pa.table([group.column("block"), *(pa.nulls(n, group.column(x.split()[0]).type) for x in lists.split(", ")), pa.array(out, pa.binary()), *own], names=names)
 
     names = ["block", *(x.split()[0] for x in lists.split(", ")), "sums", "tokens", "kinds", "deep"]
-    sums = saved(docs.mapInArrow(blocks, schema).groupBy("bucket").applyInArrow(bucket, f"block long, {lists}, sums binary, tokens long, kinds long, deep boolean"), "sums")
-    n, v = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("kinds")).first())
-    each = float(np.log10(n + v + 1))
+    parts = f"block long, {lists}, sums binary, tokens long, kinds long, deep boolean"
 
     def joined(group: pa.Table) -> pa.Table:
         blobs = [x.as_py() for x in group.column("sums")]
         own = blobs.index(None)
         cols = {name: group.column(name).combine_chunks().slice(own, 1).flatten() for name in names[1:5]}
-        tokens = cols["n_tokens"].to_numpy()
-        base, score, known = np.zeros(len(tokens)), np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
+        rows = len(cols["doc_id"])
+        base, score, known = np.zeros(rows), np.zeros(rows), np.zeros(rows, np.int64)
         for blob, deep in zip(blobs, group.column("deep").to_pylist(), strict=True):
             if blob is None:
                 continue
-            m = len(blob) // (10 if deep else 14)
-            doc = np.frombuffer(blob, np.uint16, m, (8 if deep else 12) * m)
+            m = int.from_bytes(blob[:8], "little") // (8 if deep else 14)
             if deep:
-                score[doc] += np.frombuffer(blob, float, m)
+                score[:m] += _unplaned(blob, (float, m))[0]
             else:
-                base[doc] += np.frombuffer(blob, float, m)
-                known[doc] += np.frombuffer(blob, np.uint32, m, 8 * m)
+                total, seen, doc = _unplaned(blob, (float, m), (np.uint32, m), (np.uint16, m))
+                doc = np.cumsum(doc, dtype=np.uint16)
+                base[doc] += total
+                known[doc] += seen
         length = -score * np.log2(10) / (cols["n_bytes"].to_numpy() + 1)
-        return pa.table([cols["doc_id"], cols["held_out"], cols["n_tokens"], pa.array(known), pa.array(np.full(len(tokens), n, np.int64)), pa.array(base - tokens * each), pa.array(score), pa.array(length)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-
-    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return sums.groupBy("block").applyInArrow(joined, out)
+        found = [pa.array([pc.sum(group.column(x)).as_py() or 0] + [0] * (rows - 1), pa.int64()) for x in ("tokens", "kinds")]
+        return pa.table([cols["doc_id"], cols["held_out"], cols["n_tokens"], pa.array(known), pa.array(base), pa.array(score), pa.array(length), *found], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bits_per_byte", "tokens", "kinds"])
+
+    rows = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, bits_per_byte double, tokens long, kinds long"
+    with shuffles_freed(spark):
+        dealt = docs.mapInArrow(blocks, schema).repartition(max(TASKS, branches // TASK_BUCKETS), "bucket").sortWithinPartitions("bucket")
+        sums = dealt.mapInArrow(lambda batches: combined(x for group in runs(batches) for x in bucket(group).to_batches()), parts)
+        out = saved(sums.groupBy("block").applyInArrow(joined, rows), "scores")
+        n, v = (x or 0 for x in out.agg(F.sum("tokens"), F.sum("kinds")).first())
+    base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "bits_per_byte")

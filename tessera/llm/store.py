@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Whether Spark deletes the shuffle files of an action at its end, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scopes: list[list[DataFrame]] = []
 
 
@@ -55,6 +57,17 @@ def released(tables: list[DataFrame], *needed: DataFrame) -> None:
     tables[:] = [x for x in tables if not any(x is y for y in needed)]
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Actions inside, on tables defined inside, delete their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table from `saved` that nothing will read again."""
     spark = df.sparkSession

@@ -6,10 +6,12 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,6 +341,57 @@ def test_lm_scores(spark, empty):
     assert lm_score.scores(empty).count() == 0
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+
+def test_lm_scores_of_many_buckets_store_and_leave_little(spark, monkeypatch):
+    rng = random.Random(5)
+    frame = spark.createDataFrame([(i, "".join(rng.choices("abcdefgh ij\n", k=300))) for i in range(120)], "doc_id long, text string").repartition(3).localCheckpoint()
+    got, stored = [], []
+    keep = lm_score.saved
+    monkeypatch.setattr(lm_score, "saved", lambda df, what: stored.append(keep(df, what)) or stored[-1])
+    for each in (1 << 20, 24):
+        monkeypatch.setattr(lm_score, "CONTEXT_BYTES", each)  # 32 buckets of contexts, then 1,500
+        before = shuffle_files(spark)
+        got.append({r.doc_id: (r.score, r.base_score) for r in lm_score.scores(frame).collect()})
+        for _ in range(50):  # they go in the background
+            if left := shuffle_files(spark) - before:
+                time.sleep(0.1)
+        assert not left
+    assert len(got[0]) == 120
+    for i, one in got[0].items():
+        assert got[1][i] == pytest.approx(one, abs=1e-9)
+    few, many = (x.selectExpr("*", "_metadata.file_path path", "_metadata.file_size size").groupBy("path").agg(F.first("size").alias("size")).agg(F.sum("size")).first()[0] for x in stored)
+    assert many < 1.5 * few
+
+
+def test_sums_of_a_tasks_buckets_are_added_up(monkeypatch):
+    names = ["block", "sums", "tokens", "kinds", "deep"]
+
+    def batch(rows):
+        blobs = [np.array(list(x.values()), float).tobytes() + np.array(list(x), np.uint16).tobytes() if deep else None for _, x, deep in rows]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows]), pa.array(blobs, pa.binary()), pa.array([7] * len(rows)), pa.array([7] * len(rows)), pa.array([d for _, _, d in rows])], names)
+
+    rng = random.Random(3)
+    rows = [(b, {d: rng.random() for d in sorted(rng.sample(range(30), 9))}, True) for b in [4, 5, 6] * 20] + [(4, None, False)]
+    want = np.zeros((7, 30))
+    for b, x, deep in rows:
+        for d, y in x.items() if deep else ():
+            want[b, d] += y
+    for most, sent in ((1000, 3), (0, 60)):
+        monkeypatch.setattr(lm_score, "HELD_SUMS", most)
+        found = [r for x in lm_score.combined(iter([batch(rows[k : k + 1]) for k in range(len(rows))])) for r in x.to_pylist()]
+        assert len([r for r in found if r["deep"]]) == sent and [r["tokens"] for r in found if not r["deep"]] == [7]
+        total = np.zeros((7, 30))
+        for r in found:
+            if r["deep"]:
+                n = int.from_bytes(r["sums"][:8], "little") // 8
+                total[r["block"], :n] += lm_score._unplaned(r["sums"], (float, n))[0]
+        assert np.allclose(total, want)
+
+
 def test_next_symbols_sum_to_one():
     counts = np.zeros((lm_score.CLASSES**lm_score.DEPTH, 256), np.int64)
     counts[np.random.default_rng(1).integers(0, len(counts), 500), np.random.default_rng(2).integers(97, 110, 500)] += 3
